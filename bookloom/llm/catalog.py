@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bookloom.llm import bpe_codec, quality_rules, token_counts
+from bookloom.llm import bpe_codec, exact_dedup, quality_rules, token_counts, warc
+from bookloom.llm.common import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archives of all pages and reads them back."""
+    pages = _table(spark, sf_dir, "pages")
+    path = scratch_path(spark, "archives")
+    warc.write_archives(warc.resolve(pages.select(pages["page_id"].alias("record_id"), pages["url"].alias("uri"), pages["html"].alias("payload"))), path)
+    return warc.read_archives(spark, path, payloads=False).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -26,7 +40,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op8_token_counts, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_exact_dedup, op9_warc, op8_token_counts, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
