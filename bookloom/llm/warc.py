@@ -1,6 +1,6 @@
 """WARC archives with resolved revisits.
 
-Records are written through Spark's own writer (so with its commit protocol) as uncompressed WARC/1.1 files: a record
+Records are written through Spark's own writer (so with its commit protocol) as gzip-compressed WARC/1.1 files: a record
 ends with two line ends, which serve as the separator.  Payloads are compared by SHA-1 digest: the headers are
 shuffled by digest, the largest identifier of equal payloads is the original, and every other record is joined to it
 and written as a revisit without a payload.  Files are read back whole, in parts of bounded size, and cut by
@@ -13,6 +13,7 @@ a response and never an original; line ends in a url are written as %0D and %0A;
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -53,7 +54,7 @@ def _record(date: str) -> Column:
 
 
 def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
-    resolved.select(_record(date).alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", records_per_file).text(path)
+    resolved.select(_record(date).alias("value")).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
@@ -83,7 +84,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
             for i in range(b.num_rows):
                 rows: list[tuple] = []
                 size = 0
-                for r in parse(b.column("content")[i].as_py()):
+                for r in parse(gzip.decompress(b.column("content")[i].as_py())):
                     rows.append(r if payloads else (*r[:6], None))
                     size += len(r[6] or b"") if payloads else 100
                     if size > 8 << 20:
