@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import bpe_codec, exact_dedup, packing, quality_rules, token_counts, warc
+from bookloom.llm import bpe_codec, exact_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity, warc
 from bookloom.llm.common import scratch_path
 
 
@@ -35,6 +35,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_exact_dedup, op6_packing, op9_warc, op8_token_counts, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_exact_dedup, op5_quality_classifier, op6_packing, op7_toxicity, op9_warc, op8_token_counts, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:

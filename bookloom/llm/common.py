@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of every contract here: space and U+0009 to U+000D.
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -111,3 +112,27 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     before = np.zeros(n + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * _power(_BASE, n), out=before[1:])
     return mix((before[ends] - before[starts]) * _power(_BASE_INV, max(n, 1))[starts] + (ends - starts).astype(_U))
+
+
+def sum_vectors(vectors: DataFrame, size: int, parts: int = 16) -> np.ndarray:
+    """The sum of a column of int64 vectors of one size (as bytes); `parts` partial sums reach the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                total += np.frombuffer(x.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    sums = vectors.mapInArrow(add, "v binary").repartition(parts).mapInArrow(add, "v binary")
+    return sum((np.frombuffer(r[0], np.int64) for r in sums.collect()), np.zeros(size, np.int64))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int) -> DataFrame:
+    """doc_id, text, y of at most about `most` labelled documents whose crc32(doc_id as text) mod `modulus` is not `held_out`.
+
+    The identifiers are the first `most` in the order of a hash, so their table has a proven bound and is broadcast.
+    """
+    open_ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) != held_out))
+    chosen = open_ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * most)  # doubled: identifiers can repeat
