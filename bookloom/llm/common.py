@@ -129,10 +129,10 @@ def sum_vectors(vectors: DataFrame, size: int, parts: int = 16) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int) -> DataFrame:
-    """doc_id, text, y of at most about `most` labelled documents whose crc32(doc_id as text) mod `modulus` is not `held_out`.
+    """doc_id, text, y of the documents with at most `most` labelled identifiers whose crc32(doc_id as text) mod `modulus` is not `held_out`.
 
     The identifiers are the first `most` in the order of a hash, so their table has a proven bound and is broadcast.
     """
     open_ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) != held_out))
     chosen = open_ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * most)  # doubled: identifiers can repeat
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
