@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookloom.llm.common import mix, scratch_path, text_slices
+from bookloom.llm.common import mix, scratch_path, sum_vectors, text_slices
 from bookloom.llm.vocab import locate, once
 
 _SPANS = re.compile(r"[^ \t-\r]+")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all of ASCII but the apostrophe, which can begin a piece of its own
 _U = np.uint64
 
 
@@ -51,29 +54,61 @@ class Packing:
 
 
 class Encoder:
-    """Identifiers of a text as 16-bit numbers, by the library for spans not seen lately."""
+    """Identifiers of a text as 16-bit numbers, by the library for words not seen lately.
 
-    def __init__(self, tokenizer: str, most: int = 1_000_000):
+    A span of plain letters and closing marks is the word in lower case followed by its marks; other spans go to the
+    library as they are.  New words are joined by spaces for one call; each ends where a symbol with the word end is.
+    """
+
+    def __init__(self, tokenizer: str, most_words: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(locate(tokenizer))
-        self.size = self.library.get_vocab_size()
-        if self.size > 1 << 16:
+        if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("identifiers must fit 16 bits")
         self.encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        self.most, self.cache = most, {}
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for s, i in self.library.get_vocab(False).items() if s.endswith("</w>")]] = True
+        self.most_words = most_words
+        self.words: dict[str, bytes] = {}
+
+    def _each(self, spans: list[str]) -> list[bytes]:
+        return [array("H", x.ids).tobytes() for x in self.encode(spans, add_special_tokens=False)]
+
+    def _learn(self, words: list[str], step: int = 256) -> None:
+        groups = [words[i : i + step] for i in range(0, len(words), step)]
+        for group, got in zip(groups, self.encode([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, np.uint16)
+            to = ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist()
+            raw = ids.tobytes()
+            self.words.update(zip(group, [raw[i:j] for i, j in zip([0, *to], to)] if len(to) == len(group) else self._each(group)))
 
     def texts(self, texts: list[str]) -> list[bytes]:
         spans = [_SPANS.findall(t) for t in texts]
-        new = list({s for each in spans for s in each}.difference(self.cache))
-        if len(self.cache) + len(new) > self.most and self.cache:
-            self.cache.clear()
-            new = list({s for each in spans for s in each})
-        for s, got in zip(new, self.encode(new, add_special_tokens=False) if new else []):
-            self.cache[s] = np.array(got.ids, "<u2").tobytes()
-        cache = self.cache
-        return [b"".join([cache[s] for s in each]) for each in spans]
+        if len(self.words) > self.most_words:
+            self.words = {}
+        plain, odd = [], []
+        for s in set().union(*spans):
+            word = s.rstrip(_MARKS)
+            if word.isalpha() and (word.isascii() or _LATIN.fullmatch(word)):
+                plain.append((s, word.lower(), s[len(word) :]))
+            else:
+                odd.append(s)
+        known = self.words
+        self._learn(list({w for _, w, _ in plain}.difference(known)))
+        marks = {m: self._each([m])[0] if m else b"" for m in {m for *_, m in plain}}
+        found = {s: known[w] + marks[m] for s, w, m in plain}
+        found.update(zip(odd, self._each(odd)))
+        return [b"".join([found[s] for s in each]) for each in spans]
+
+
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct identifiers in order, and how often each occurs."""
+    s = np.sort(ids)
+    at = np.flatnonzero(s[1:] != s[:-1]) + 1
+    at = np.concatenate([[0], at])
+    return s[at], np.diff(at, append=len(s))
 
 
 def _route(ids: np.ndarray) -> int:
@@ -92,29 +127,20 @@ def encode(docs: DataFrame, tokenizer: str, how: Packing) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once(("encoder", tokenizer), lambda: Encoder(tokenizer))
         seen = np.zeros(1 << 16, np.int64)
-        for s in text_slices(batches):
+        for s in text_slices(batches, limit=4 << 20):
             got = [i + end for i in encoder.texts([t or "" for t in s.column("text").to_pylist()])]
             arrays = [np.frombuffer(i, "<u2") for i in got]
             for a in arrays:
-                seen[np.unique(a)] += 1
+                seen[_distinct(a)[0]] += 1
             yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(kind), pa.array(got, pa.binary()), pa.array([len(a) for a in arrays], pa.int64()), pa.array(list(map(_route, arrays)), pa.int64()), pa.nulls(len(got), pa.binary())], schema.names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([seen.tobytes()], pa.binary())], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def frequencies(encoded: DataFrame, parts: int = 16) -> np.ndarray:
-    """Documents that hold each token, over all rows; `parts` vectors of the vocabulary's size reach the driver."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for b in batches:
-            for x in b.column("seen"):
-                total += np.frombuffer(x.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["seen"])
-
-    sums = encoded.where("seen is not null").select("seen").mapInArrow(add, "seen binary").repartition(parts).mapInArrow(add, "seen binary")
-    return sum((np.frombuffer(r[0], np.int64) for r in sums.collect()), np.zeros(1 << 16, np.int64))
+def frequencies(encoded: DataFrame) -> np.ndarray:
+    """Documents that hold each token, over all rows."""
+    return sum_vectors(encoded.where("seen is not null").select("seen"), 1 << 16)
 
 
 class Shard:
@@ -122,7 +148,7 @@ class Shard:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, how: Packing):
         self.docs, self.idf, self.how = docs, idf, how
-        found = [np.unique(d, return_counts=True) for d in docs]
+        found = [_distinct(d) for d in docs]
         self.terms = [t for t, _ in found]
         lengths = np.array([len(d) for d in docs], np.float64)
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for t in self.terms])
