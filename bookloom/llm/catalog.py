@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import bpe_codec, exact_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity, warc
+from bookloom.llm import bpe_codec, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters, warc
 from bookloom.llm.common import scratch_path
 
 
@@ -19,6 +19,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+RULES = [url_filters.Rule(*r) for r in (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page counts as labelled where `labels` has its number: bad where that row is of low quality or toxic."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    return url_filters.judge(_table(spark, sf_dir, "pages"), labels, RULES)
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +65,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_exact_dedup, op5_quality_classifier, op6_packing, op7_toxicity, op9_warc, op8_token_counts, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_near_dedup, op4_exact_dedup, op5_quality_classifier, op6_packing, op7_toxicity, op9_warc, op8_token_counts, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:

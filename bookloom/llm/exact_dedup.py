@@ -69,22 +69,28 @@ def _part_of(key: Column, cuts: list[str]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), start, step)["lo"]
 
 
-def dedup(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+def dedup(docs: DataFrame, plan: Plan = Plan(), carry: bool = False) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row; with `carry` also the row itself."""
     spark = docs.sparkSession
+    more = ["row"] if carry else []
     rows = docs.select("doc_id", normalised(F.col("text")).alias("norm")).select("doc_id", "norm", F.sha2("norm", 256).alias("text_sha256"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = splitters(rows, min(plan.most_parts, plan.per_partition * partitions), plan)
-    placed = rows.withColumn("part", _part_of(_sort_key(plan.prefix), cuts)).repartition(partitions, "part")
+    part = _part_of(_sort_key(plan.prefix), cuts).alias("part")
+    if carry:  # the text travels once, within the row
+        whole = docs.select("doc_id", F.struct(*docs.columns).alias("row"), normalised(F.col("text")).alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
+        placed = whole.select("doc_id", "text_sha256", "row", part).repartition(partitions, "part").withColumn("norm", normalised(F.col("row.text")))
+    else:
+        placed = rows.select("doc_id", "norm", "text_sha256", part).repartition(partitions, "part")
 
     # Within a part: equal texts are adjacent, identifiers ascend, null ones last.
     order = Window.partitionBy("part").orderBy("norm", F.col("doc_id").asc_nulls_last())
     first = F.coalesce(F.col("norm") != F.lag("norm").over(order), F.lit(True))
-    marked = placed.select("doc_id", "text_sha256", "part", F.row_number().over(order).alias("at"), first.alias("first"))
+    marked = placed.select("doc_id", "text_sha256", "part", *more, F.row_number().over(order).alias("at"), first.alias("first"))
     begun = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     runs = marked.withColumn("run", F.max(F.when(F.col("first"), F.col("at"))).over(begun))
     whole = Window.partitionBy("part", "run")
-    local = runs.select("doc_id", "text_sha256", F.col("at") == F.col("run"), F.min("doc_id").over(whole).alias("run_id"), F.count(F.lit(1)).over(whole).alias("run_size"), F.col("first"))
+    local = runs.select("doc_id", "text_sha256", *more, F.min("doc_id").over(whole).alias("run_id"), F.count(F.lit(1)).over(whole).alias("run_size"), F.col("first"))
 
     cut_digests = sorted({c.split("\u0000")[-2] for c in cuts})
     joined = (
@@ -95,4 +101,9 @@ def dedup(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     out = local.join(F.broadcast(joined), "text_sha256", "left")
     keep = F.coalesce("all_id", "run_id")
     kept = F.col("first") & (F.col("doc_id").eqNullSafe(keep))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("all_size", "run_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("all_size", "run_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256", *more)
+
+
+def keep(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """The rows of docs, all columns, that stay."""
+    return dedup(docs, plan, carry=True).where("kept").select("row.*")

@@ -188,5 +188,15 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def keep(docs: DataFrame, trees: Trees, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in text_slices(batches):
+            yield s.filter(pa.array(trees.scores(statistics(s.column("text"))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> DataFrame:
     return score(docs, train(docs, labels, how))
