@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookloom.llm import bpe_codec, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters, warc
-from bookloom.llm.common import scratch_path
+from bookloom.llm.common import modest_batches, scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

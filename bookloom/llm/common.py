@@ -45,6 +45,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows, for texts of some kB: what a Python worker holds at once stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices of about `limit` bytes of text (a longer text stands alone)."""
     for batch in batches:
@@ -136,3 +141,41 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     open_ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) != held_out))
     chosen = open_ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def id_filter(ids: DataFrame, count: int, bits_each: int = 8, most_bits: int = 1 << 27) -> np.ndarray:
+    """A bit map of a hash of every id (long), of at most most_bits / 8 bytes: it passes all ids, and few others while it is sparse."""
+    bits = 1 << max(10, min(most_bits, bits_each * max(1, count)).bit_length() - 1)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
+        for b in batches:
+            seen[_slot(b.column(0), bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["v"])
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            for x in b.column(0):
+                total |= np.frombuffer(x.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    total = np.zeros(bits // 8, np.uint8)
+    for r in ids.mapInArrow(mark, "v binary").repartition(4).mapInArrow(union, "v binary").collect():
+        total |= np.frombuffer(r[0], np.uint8)
+    return total
+
+
+def _slot(ids: pa.Array, bits: int) -> np.ndarray:
+    return (mix(pc.fill_null(ids.cast(pa.int64()), 0).to_numpy(zero_copy_only=False).view(_U)) & _U(bits - 1)).astype(np.int64)
+
+
+def passing(rows: DataFrame, column: str, found: np.ndarray) -> DataFrame:
+    """The rows whose id the bit map passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _slot(b.column(column), 8 * len(found))
+            yield b.filter(pa.array((found[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    return rows.mapInArrow(run, rows.schema)

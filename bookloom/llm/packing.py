@@ -60,7 +60,7 @@ class Encoder:
     library as they are.  New words are joined by spaces for one call; each ends where a symbol with the word end is.
     """
 
-    def __init__(self, tokenizer: str, most_words: int = 1_200_000):
+    def __init__(self, tokenizer: str, most_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -127,7 +127,7 @@ def encode(docs: DataFrame, tokenizer: str, how: Packing) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once(("encoder", tokenizer), lambda: Encoder(tokenizer))
         seen = np.zeros(1 << 16, np.int64)
-        for s in text_slices(batches, limit=4 << 20):
+        for s in text_slices(batches, limit=2 << 20):
             got = [i + end for i in encoder.texts([t or "" for t in s.column("text").to_pylist()])]
             arrays = [np.frombuffer(i, "<u2") for i in got]
             for a in arrays:

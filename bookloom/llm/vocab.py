@@ -66,7 +66,8 @@ _made: dict[tuple, object] = {}
 
 
 def once(key: tuple, make):
-    """One object for each Python worker; a worker serves many tasks."""
+    """One object for each Python worker, which serves many tasks."""
     if key not in _made:
+        _made.clear()  # a worker that goes on to another operator gives back what the last one held
         _made[key] = make()
     return _made[key]
