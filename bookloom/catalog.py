@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bookloom.operators import features, scans
+
+OPERATORS = {o.name: o for o in (*scans.OPERATORS, *features.OPERATORS)}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: o.query for name, o in OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: o.oracle() for name, o in OPERATORS.items()}
