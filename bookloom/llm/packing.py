@@ -60,7 +60,7 @@ class Encoder:
     library as they are.  New words are joined by spaces for one call; each ends where a symbol with the word end is.
     """
 
-    def __init__(self, tokenizer: str, most_words: int = 600_000):
+    def __init__(self, tokenizer: str, most_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from bookloom.llm.common import as_bytes, labelled_sample, span_hashes, text_slices, word_spans
 from bookloom.llm.quality_rules import vocabulary
+from bookloom.llm.vocab import release
 
 
 @dataclass(frozen=True)
@@ -163,6 +164,7 @@ def fit(x: np.ndarray, y: np.ndarray, how: Fit = Fit()) -> Trees:
 
 def train(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), label: str = "quality") -> Trees:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for s in text_slices(batches):
             yield pa.RecordBatch.from_arrays([s.column("y"), pa.array(list(statistics(s.column("text"))), pa.list_(pa.float64()))], ["y", "x"])
 
@@ -180,6 +182,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for s in text_slices(batches):
             yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(trees.scores(statistics(s.column("text"))))], ["doc_id", "score"])
 
@@ -192,6 +195,7 @@ def keep(docs: DataFrame, trees: Trees, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose score is at least the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for s in text_slices(batches):
             yield s.filter(pa.array(trees.scores(statistics(s.column("text"))) >= threshold))
 

@@ -71,3 +71,8 @@ def once(key: tuple, make):
         _made.clear()  # a worker that goes on to another operator gives back what the last one held
         _made[key] = make()
     return _made[key]
+
+
+def release() -> None:
+    """Give back what an earlier operator keeps in this worker."""
+    _made.clear()
