@@ -6,13 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.operators import features, scans
+from bookloom.operators import features, scans, stateful
+from bookloom.sources import mbo as source
 
 OPERATORS = {o.name: o for o in (*scans.OPERATORS, *features.OPERATORS)}
 
 
+MIN = 60_000_000
+
+
+def _stateful() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """What SQL cannot say; tests hold them against plain loops."""
+
+    def on(table: str, f: Callable[..., DataFrame], **params) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            mbo = source.read(spark, sf_dir)
+            return f(mbo if table == "mbo" else source.quotes(spark, mbo), **params)
+
+        return run
+
+    return {
+        "st11_cusum": on("quotes", stateful.cusum, h=50.0), "cf01_streaks": on("mbo", stateful.streaks, least=2), "fe21_kalman": on("quotes", stateful.kalman),
+        "fe03_vpin_reset": on("mbo", stateful.vpin_reset, bucket=100.0), "sp01_spectral": on("mbo", stateful.spectral, step_us=60 * MIN), "bt01_backtest": on("quotes", stateful.backtest, stop=0.5),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: o.query for name, o in OPERATORS.items()}
+    return {name: o.query for name, o in OPERATORS.items()} | _stateful()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,8 +14,11 @@ _D = f"WITH d AS (SELECT *, mid - lag(mid) {_ROWS}) AS dm, ln(mid / lag(mid) {_R
 _T = f"""WITH q AS (SELECT m.symbol, m.seq, m.ts_us, m.price, m.size, m.side, q.bid, q.ask, q.mid FROM {{mbo}} m JOIN {{quotes}} q ON m.seq = q.seq AND m.symbol = q.symbol WHERE m.action IN ('F', 'T')),
  t AS (SELECT *, CASE WHEN side = 'A' THEN size ELSE -size END AS signed FROM q)"""
 _M = f"WITH m AS (SELECT symbol, seq, ts_us, mid FROM {{quotes}} WHERE mid > 0)"
-_BARRIER = _M + """, hit AS (SELECT m.symbol, m.seq, m.mid, min(CASE WHEN p.mid >= m.mid + {up} THEN p.ts_us END) AS up_us, min(CASE WHEN p.mid <= m.mid - {down} THEN p.ts_us END) AS down_us, max(p.mid) - m.mid AS mfe, m.mid - min(p.mid) AS mae, count(p.seq) AS seen,
-   max(m.ts_us) + {horizon} AS deadline FROM m LEFT JOIN m p ON m.symbol = p.symbol AND p.ts_us > m.ts_us AND p.ts_us <= m.ts_us + {horizon} GROUP BY m.symbol, m.seq, m.mid),
+# Both sides meet by blocks of one horizon (a row's own block and the next): an equi join, linear in the events.
+_BARRIER = _M + """, ahead AS (SELECT *, ts_us - ts_us % {horizon} AS block FROM m),
+ own AS (SELECT *, block AS met FROM ahead UNION ALL SELECT *, block + {horizon} AS met FROM ahead),
+ hit AS (SELECT m.symbol, m.seq, m.mid, min(CASE WHEN p.mid >= m.mid + {up} THEN p.ts_us END) AS up_us, min(CASE WHEN p.mid <= m.mid - {down} THEN p.ts_us END) AS down_us, max(p.mid) - m.mid AS mfe, m.mid - min(p.mid) AS mae, count(p.seq) AS seen,
+   max(m.ts_us) + {horizon} AS deadline FROM own m LEFT JOIN ahead p ON m.symbol = p.symbol AND m.met = p.block AND p.ts_us > m.ts_us AND p.ts_us <= m.ts_us + {horizon} GROUP BY m.symbol, m.seq, m.mid),
  ends AS (SELECT symbol, max(ts_us) AS end_us FROM m GROUP BY symbol),
  lab AS (SELECT h.*, CASE WHEN up_us IS NOT NULL AND (down_us IS NULL OR up_us < down_us) THEN 1 WHEN down_us IS NOT NULL THEN -1 WHEN deadline <= end_us THEN 0 END AS label FROM hit h JOIN ends e ON h.symbol = e.symbol)"""
 _SCORES = "WITH s AS (SELECT seq, CAST((seq * 7919) % 1000 AS DOUBLE) / 1000 AS p, CASE WHEN side = 'B' THEN 1 ELSE 0 END AS y, symbol, ts_us FROM {mbo})"
