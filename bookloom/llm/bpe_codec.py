@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,28 +53,28 @@ class Codec:
     def __init__(self, tokenizer: str):
         self.vocabulary = Vocabulary(tokenizer)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")") if self.vocabulary.special else None
-        self.words = Cache(self.word, 400_000)
-        self.spans = Cache(self.span, 200_000)
+        self.words = Cache(self.word, 1_200_000)
+        self.spans = Cache(self.span, 250_000)
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         symbols = self.vocabulary.symbols(word)
         if len(symbols) <= SHORT:
             parts = rank_array_merge(symbols, self.vocabulary.ranks)
         else:
             parts = [s for s in heap_merge(symbols, self.vocabulary.ranks) if s is not None]
-        return [self.vocabulary.ids[s] for s in parts]
+        return array("I", [self.vocabulary.ids[s] for s in parts]).tobytes()
 
     def span(self, span: str) -> tuple[bytes, str]:
         """The identifiers of a span as bytes, and its decoded text with a space before each symbol."""
-        ids: list[int] = []
+        found: list[bytes] = []
         for part in self.cut.split(span) if self.cut else [span]:
             if part in self.vocabulary.special:
-                ids.append(self.vocabulary.special[part])
+                found.append(array("I", [self.vocabulary.special[part]]).tobytes())
             else:
                 low = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-                for word in _WORDS.findall(low):
-                    ids += self.words[word]
-        return np.array(ids, "<u4").tobytes(), "".join(" " + self.vocabulary.texts[i] for i in ids)
+                found += map(self.words.__getitem__, _WORDS.findall(low))
+        raw, texts = b"".join(found), self.vocabulary.texts
+        return raw, "".join([" " + texts[i] for i in memoryview(raw).cast("I")])
 
     def encode_pair(self, text: str) -> tuple[bytes, str]:
         found = [self.spans[s] for s in _SPANS.findall(text)]
