@@ -67,11 +67,14 @@ class Codec:
     def span(self, span: str) -> tuple[bytes, str]:
         """The identifiers of a span as bytes, and its decoded text with a space before each symbol."""
         found: list[bytes] = []
-        for part in self.cut.split(span) if self.cut else [span]:
+        plain = span.isascii() and span.isalpha()  # the common case needs neither normal forms nor patterns
+        if plain:
+            found.append(self.words[span.lower()])
+        for part in () if plain else self.cut.split(span) if self.cut else (span,):
             if part in self.vocabulary.special:
                 found.append(array("I", [self.vocabulary.special[part]]).tobytes())
             else:
-                low = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
+                low = part.lower() if part.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", part)])
                 found += map(self.words.__getitem__, _WORDS.findall(low))
         raw, texts = b"".join(found), self.vocabulary.texts
         return raw, "".join([" " + texts[i] for i in memoryview(raw).cast("I")])
