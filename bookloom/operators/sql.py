@@ -1,7 +1,7 @@
 """A relational operator: one SQL statement over order events, with its thresholds as parameters.
 
 Statements use what Spark SQL and the oracle's dialect share.  Plain decimals are doubles; ORD is the total order of
-events within a symbol, MEDIAN(x) interpolates.
+events within a symbol, MEDIAN(x) and QUANTILE(x, q) interpolate.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ class Operator:
 
     def apply(self, spark: SparkSession, tables: dict[str, DataFrame], **params: float) -> DataFrame:
         text = re.sub(r"\bORD\b", "struct(ts_us, seq)", self.statement(**params)).replace("MEDIAN(", "percentile(0.5D, ")
-        text = re.sub(r"percentile\(0\.5D, (\w+)\)", r"percentile(\1, 0.5D)", text)
+        text = re.sub(r"percentile\(0\.5D, (\w+)\)", r"percentile(\1, 0.5D)", text).replace("QUANTILE(", "percentile(")
         return spark.sql(text, **{t: tables[t] for t in self.tables()})
 
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ class Operator:
 
     def oracle(self) -> str:
         text = re.sub(r"\bORD\b", "row(ts_us, seq)", self.statement(**self.scaled)).replace("MEDIAN(", "quantile_cont(0.5, ")
-        text = re.sub(r"quantile_cont\(0\.5, (\w+)\)", r"quantile_cont(\1, 0.5)", text)
+        text = re.sub(r"quantile_cont\(0\.5, (\w+)\)", r"quantile_cont(\1, 0.5)", text).replace("QUANTILE(", "quantile_cont(")
         used = self.tables()
         views = ["mbo"] * bool({"mbo", "quotes"} & set(used)) + ["quotes"] * ("quotes" in used)
         for t in used:
