@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.operators import books, features, research, scans, stateful
+from bookloom.operators import books, dense, features, models, queues, research, scans, stateful
 from bookloom.sources import mbo as source
 
 OPERATORS = {o.name: o for o in (*scans.OPERATORS, *features.OPERATORS, *books.OPERATORS, *research.OPERATORS)}
@@ -28,12 +28,48 @@ def _stateful() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "st11_cusum": on("quotes", stateful.cusum, h=50.0), "cf01_streaks": on("mbo", stateful.streaks, least=2), "fe21_kalman": on("quotes", stateful.kalman),
         "fe03_vpin_reset": on("mbo", stateful.vpin_reset, bucket=100.0), "sp01_spectral": on("mbo", stateful.spectral, step_us=60 * MIN), "bt01_backtest": on("quotes", stateful.backtest, stop=0.5),
+        "l2_imbalance_ema": on("quotes", queues.imbalance_ema), "cf04_stop_run": lambda s, d: queues.stop_runs(stateful.streaks(source.read(s, d), least=1), depth=1, velocity=1e-5),
+        "bk03_queue_positions": on("mbo", queues.queue_positions, tick=5.0), "bk03_pro_rata": on("mbo", queues.queue_positions, tick=5.0, pro_rata=True), "ex01_fill_simulation": _fills,
+        "ex07_position_limits": lambda s, d: queues.position_limits(stateful.backtest(source.quotes(s, source.read(s, d)), stop=0.5)), "lt01_levels": on("mbo", queues.track_levels, step_us=60 * MIN, age_us=120 * MIN, fade_us=600 * MIN, tick=20.0),
+        "st04_bursts": on("mbo", queues.bursts, span_us=60 * MIN, least=2, gap_us=300 * MIN, before_us=30 * MIN, after_us=60 * MIN), "nb12_anchors": on("quotes", queues.anchors, move=20.0, gap_us=300 * MIN),
+        "fe19_flux_stark": on("quotes", dense.flux_stark, window=8, recent=3), "fe23_wavelet": on("quotes", dense.wavelets, step_us=10 * MIN), "fe24_modes": on("quotes", dense.modes), "fe25_hilbert": on("quotes", dense.hilbert),
+        "fe26_coherence": on("quotes", dense.depth_coherence, segment=4), "fe27_signature": on("quotes", dense.signatures), "fe28_hawkes": on("quotes", dense.hawkes_fit), "cv06_augment": on("quotes", dense.augment), "cv04_gain": _gain,
+    }
+
+
+def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mbo = source.read(spark, sf_dir)
+    return queues.simulate_fills(mbo, source.quotes(spark, mbo), every=3, horizon_us=300 * MIN, adverse_ticks=20, sweep_us=60 * MIN, tick=5.0)
+
+
+def _gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score that follows the side more than chance, against the base rate."""
+    scores = source.read(spark, sf_dir).selectExpr("symbol", "ts_us", "seq", "CASE WHEN side = 'B' THEN 1D ELSE 0D END AS y", "5e-1 AS base")
+    return dense.bootstrap_gain(scores.selectExpr("*", "y * 3e-1 + (seq * 7919) % 1000 / 1000D * 6e-1 AS model"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.shape_clusters(OPERATORS["pt01_event_shape"].query(spark, sf_dir), ["add_ratio", "mean_size", "q25", "q75", "asymmetry", "spread"])
+
+
+def _learned() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def on(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: f(source.quotes(spark, source.read(spark, sf_dir)))
+
+    return {
+        "rg03_learned_regime": on(models.learned_regime), "cv02_fold_auc": on(models.fold_auc), "cv03_calibration_gain": on(models.calibration_gain), "cv05_meta_labels": on(models.meta_labels), "pt02_clusters": _clusters,
+        "fe30_latent": lambda s, d: models.latent(_vectors(s, d)), "pt03_projection": lambda s, d: models.latent(_vectors(s, d), 2), "tk09_exemplars": lambda s, d: models.exemplars(_vectors(s, d)),
+        "pt05_template_match": lambda s, d: models.match_templates(_vectors(s, d).where("embedding is not null"), 0.0).selectExpr("vec_id", "pattern", "round(score, 6) AS score").where("score >= 6e-1"),
     }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: o.query for name, o in OPERATORS.items()} | _stateful()
+    return {name: o.query for name, o in OPERATORS.items()} | _stateful() | _learned()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: o.oracle() for name, o in OPERATORS.items()}
+    return {name: o.oracle() for name, o in OPERATORS.items()} | {"tk09_exemplars": models.EXEMPLARS_SQL, "pt05_template_match": models.MATCH_SQL}

@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events".split():
+    for t in "region nation customer supplier part orders lineitem events embeddings".split():
         c.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     return c
 
