@@ -32,9 +32,12 @@ from pyspark.sql import types as T
 from bookloom.llm.common import mix, scratch_path, sum_vectors, text_slices
 from bookloom.llm.vocab import locate, once
 
-_SPANS = re.compile(r"[^ \t-\r]+")
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all of ASCII but the apostrophe, which can begin a piece of its own
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_MARKS = r"[!-&(-/:-@\[-`{-~]"  # all of ASCII but the apostrophe, which can begin a piece of its own
+_PLAIN = re.compile(f"{_LETTERS}++|{_MARKS}++")
+#: A span of letters and closing marks gives two pieces, any other span is one.
+_PIECES = re.compile(rf"{_LETTERS}++(?={_MARKS}*+(?:[ \t-\r]|\Z))|(?<={_LETTERS}){_MARKS}++(?=[ \t-\r]|\Z)|[^ \t-\r]++")
+_WIDE = re.compile("[^\x00-\xff\u2010-\u2027]")
 _U = np.uint64
 
 
@@ -54,13 +57,14 @@ class Packing:
 
 
 class Encoder:
-    """Identifiers of a text as 16-bit numbers, by the library for words not seen lately.
+    """Identifiers of a text as 16-bit numbers, by the library for pieces not seen lately.
 
-    A span of plain letters and closing marks is the word in lower case followed by its marks; other spans go to the
-    library as they are.  New words are joined by spaces for one call; each ends where a symbol with the word end is.
+    Letters and closing marks are pieces by themselves; any other span goes to the library as it is.  A text is put in
+    lower case first where that changes nothing but plain letters.  New plain pieces are joined by spaces for one call;
+    each ends where a symbol with the word end is.
     """
 
-    def __init__(self, tokenizer: str, most_words: int = 400_000):
+    def __init__(self, tokenizer: str, most_words: int = 400_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -70,7 +74,7 @@ class Encoder:
         self.encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for s, i in self.library.get_vocab(False).items() if s.endswith("</w>")]] = True
-        self.most_words = most_words
+        self.most_words, self.longest = most_words, longest
         self.words: dict[str, bytes] = {}
 
     def _each(self, spans: list[str]) -> list[bytes]:
@@ -85,22 +89,20 @@ class Encoder:
             self.words.update(zip(group, [raw[i:j] for i, j in zip([0, *to], to)] if len(to) == len(group) else self._each(group)))
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        spans = [_SPANS.findall(t) for t in texts]
+        lower = [t.lower() if "<|" not in t and (t.isascii() or not _WIDE.search(t)) else t for t in texts]
+        pieces = [_PIECES.findall(t) for t in lower]
         if len(self.words) > self.most_words:
             self.words = {}
-        plain, odd = [], []
-        for s in set().union(*spans):
-            word = s.rstrip(_MARKS)
-            if word.isalpha() and (word.isascii() or _LATIN.fullmatch(word)):
-                plain.append((s, word.lower(), s[len(word) :]))
-            else:
-                odd.append(s)
-        known = self.words
-        self._learn(list({w for _, w, _ in plain}.difference(known)))
-        marks = {m: self._each([m])[0] if m else b"" for m in {m for *_, m in plain}}
-        found = {s: known[w] + marks[m] for s, w, m in plain}
-        found.update(zip(odd, self._each(odd)))
-        return [b"".join([found[s] for s in each]) for each in spans]
+        new = set().union(*pieces).difference(self.words)
+        plain = [w for w in new if _PLAIN.fullmatch(w)]
+        odd = list(new.difference(plain))
+        self._learn(plain)
+        self.words.update(zip(odd, self._each(odd)))
+        out = [b"".join(map(self.words.__getitem__, p)) for p in pieces]
+        for w in new:
+            if len(w) > self.longest:
+                del self.words[w]
+        return out
 
 
 def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
