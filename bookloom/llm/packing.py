@@ -64,7 +64,7 @@ class Encoder:
     each ends where a symbol with the word end is.
     """
 
-    def __init__(self, tokenizer: str, most_words: int = 400_000, longest: int = 40):
+    def __init__(self, tokenizer: str, most_words: int = 800_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -120,6 +120,30 @@ def _route(ids: np.ndarray) -> int:
     return int(mix(x).min() >> _U(1))
 
 
+def _routes(arrays: list[np.ndarray], step: int = 32) -> np.ndarray:
+    """The route of each array, by passes over a few at once (as many as caches hold)."""
+    if len(arrays) > step:
+        return np.concatenate([_routes(arrays[i : i + step]) for i in range(0, len(arrays), step)])
+    lengths = np.array([len(a) for a in arrays])
+    ends = np.cumsum(lengths)
+    x = np.concatenate(arrays).astype(_U)
+    h = np.full(len(x), ~_U(0))
+    if len(x) >= 3:
+        h[:-2] = mix(x[:-2] * _U(0x9E3779B97F4A7C15) + x[1:-1] * _U(0xC2B2AE3D27D4EB4F) + x[2:] * _U(0x165667B19E3779F9))
+    h[ends - 1] = h[np.maximum(ends - 2, 0)] = ~_U(0)  # windows that would reach into the next text
+    out = (np.minimum.reduceat(h, ends - lengths) >> _U(1)).astype(np.int64)
+    for i in np.flatnonzero(lengths < 3):
+        out[i] = _route(arrays[i])
+    return out
+
+
+def _documents_with(arrays: list[np.ndarray]) -> np.ndarray:
+    """How many of the arrays hold each identifier."""
+    keys = np.concatenate(arrays).astype(np.int64) | np.repeat(np.arange(len(arrays)) << 16, [len(a) for a in arrays])
+    keys.sort()
+    return np.bincount(keys[np.append(True, keys[1:] != keys[:-1])] & 0xFFFF, minlength=1 << 16)
+
+
 def encode(docs: DataFrame, tokenizer: str, how: Packing) -> DataFrame:
     """doc_id, ids (16-bit, with the end token), n, route; a row with `seen` (document frequencies) for each task."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("route", T.LongType()), T.StructField("seen", T.BinaryType())])
@@ -132,9 +156,9 @@ def encode(docs: DataFrame, tokenizer: str, how: Packing) -> DataFrame:
         for s in text_slices(batches, limit=2 << 20):
             got = [i + end for i in encoder.texts([t or "" for t in s.column("text").to_pylist()])]
             arrays = [np.frombuffer(i, "<u2") for i in got]
-            for a in arrays:
-                seen[_distinct(a)[0]] += 1
-            yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(kind), pa.array(got, pa.binary()), pa.array([len(a) for a in arrays], pa.int64()), pa.array(list(map(_route, arrays)), pa.int64()), pa.nulls(len(got), pa.binary())], schema.names)
+            if arrays:
+                seen += _documents_with(arrays)
+            yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(kind), pa.array(got, pa.binary()), pa.array([len(a) for a in arrays], pa.int64()), pa.array(_routes(arrays) if arrays else [], pa.int64()), pa.nulls(len(got), pa.binary())], schema.names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([seen.tobytes()], pa.binary())], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
