@@ -7,11 +7,14 @@
 2. A text's sketch is 4 permutations of 16 bins: each shingle falls into one bin of each and the bin keeps the
    shingle with the least sampled value (r, c, beta of consistent weighted sampling come from the hash).  A band is one
    bin over the 4 permutations.
-3. Texts of equal words are one node.  Nodes that share a band are linked in two steps, first within salted parts of
-   the band, then between the parts: each node with the first one and with its predecessors in two orders.
+3. Texts of equal words are one node.  All nodes of a band of at most `small` are linked.  Those of a larger, hot band are
+   first linked sparsely, within salted parts of the band and between the parts, which joins most near copies.
 4. Linked pairs whose sketches agree by less than `least_agree` of 64 (over four standard deviations below the
    threshold) are left out; the others are verified by weighted Jaccard similarity over their whole texts.
 5. Verified links are closed into classes by minimum labels with pointer jumping, each round written to the shared folder.
+6. Nodes of hot bands that are in different classes by now are compared by their shingles (`missed`): pairs that share a
+   shingle of few nodes meet there; all others share frequent shingles only, and meet by the lightest text of each set of
+   these.  New verified links are closed again.
 
 Edge cases: a null or empty text has no shingles; all such texts are one class; repeated rows join one class; a row
 with a null doc_id gets the class of its text, which is null where no such text has an identifier; an empty table
@@ -39,7 +42,7 @@ _ODD = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 
 @dataclass(frozen=True)
 class Near:
-    """Words of a shingle, similarity, share of texts above which a shingle counts as common, least idf, agreement, salts."""
+    """Words of a shingle, similarity, share of texts above which a shingle counts as common, least idf, agreement, salts, nodes of a small band or shingle, nodes of a block."""
 
     words: int = 5
     similarity: float = 0.8
@@ -47,6 +50,8 @@ class Near:
     floor: float = 0.5
     least_agree: int = 38
     salts: int = 32
+    small: int = 16
+    block: int = 1000
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
@@ -152,15 +157,21 @@ def signatures(docs: DataFrame, weights: Weights, how: Near) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def links(nodes: DataFrame, how: Near) -> DataFrame:
-    """Distinct pairs a < b of nodes that share a band; a band of m nodes gives at most 5 m of them.
-
-    A band that texts share by a common passage alone holds unlike texts, so its nodes are salted and put in order by
-    two further bands of theirs: like texts stand beside each other there.
-    """
+def band_rows(nodes: DataFrame, how: Near) -> DataFrame:
+    """key, node, two further bands n1, n2, an order o and `hot` (more than `small` nodes have the band) of every band of two nodes or more."""
     bands = [F.struct(F.col(b).alias("key"), F.coalesce(F.col(_BANDS[(i + 1) % BINS]), F.lit(0)).alias("n1"), F.coalesce(F.col(_BANDS[(i + 6) % BINS]), F.lit(0)).alias("n2")) for i, b in enumerate(_BANDS)]
     rows = nodes.select("node", F.explode(F.array(*bands)).alias("x")).where("x.key is not null").select("x.key", "node", "x.n1", "x.n2", F.xxhash64("node").alias("o"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("n1"), F.lit(how.salts)).cast("int"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    return salted.join(sizes, "key").withColumn("hot", F.col("m") > how.small).drop("m")
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of nodes that share a band: all pairs of a small band, at most 5 m of a hot one with m nodes.
+
+    A hot band's nodes are salted and put in order by two further bands of theirs: like texts stand beside each other there.
+    """
+    few, salted = rows.where("not hot").select("key", "node"), rows.where("hot")
 
     def window(*order: str) -> Window:
         return Window.partitionBy("key", "salt").orderBy(*order, "o", "node")
@@ -169,7 +180,78 @@ def links(nodes: DataFrame, how: Near) -> DataFrame:
     over = Window.partitionBy("key").orderBy("o", "node")
     two = one.where(F.col("head") == F.col("node")).select("key", "node", "o").select("node", F.first("node").over(over).alias("head"), F.lag("node").over(over).alias("l1"))
     pairs = one.select("node", F.explode(F.array("head", "l1", "l2")).alias("other")).unionByName(two.select("node", F.explode(F.array("head", "l1")).alias("other")))
-    return pairs.where("other <> node").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    every = few.join(few.select("key", F.col("node").alias("other")), "key").where("node < other").select("node", "other")
+    return pairs.unionByName(every).where("other <> node").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def texts_of(ids: DataFrame, most: int, docs: DataFrame) -> DataFrame:
+    """doc_id and text of the identifiers, a text each; most texts are not shuffled."""
+    near = passing(docs.select("doc_id", "text"), "doc_id", id_filter(ids, most))
+    return materialise(near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+
+def missed(hot: DataFrame, docs: DataFrame, weights: Weights, how: Near) -> DataFrame:
+    """hot: node, label (its class so far), sketch.  Candidates (a, b) that connect all nodes of similarity enough.
+
+    Let a shingle be frequent if more than `small` of the nodes have it.  Two nodes that share another one meet there.  If x
+    and y share frequent ones only, with overlap o, their similarity is o / (w(x) + w(y) - o).  Of the nodes with the same
+    frequent shingles as y, the lightest, v, is at least as similar to x; and with u the lightest for x, so are u and v, and u
+    and y: x - v - u - y is a chain.  So each node is compared with the lightest ones only.  A node of such a pair has a
+    share of `similarity` of its weight in frequent shingles.
+    """
+    texts = texts_of(hot.select(F.col("node").alias("doc_id")), hot.count(), docs)
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("h", T.LongType()), T.StructField("w", T.DoubleType())])
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for s in text_slices(batches):
+            who, what, tf, _, _ = shingles(s.column("text"), how.words)
+            ids = s.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(what.view(np.int64)), pa.array(weights.of(what, tf))], schema.names)
+
+    salts = 8
+    tokens = materialise(texts.mapInArrow(explode, schema), "tokens")
+    often = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > how.small)
+    often = often.select("h", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"), F.lit(True).alias("often"))
+    marked = tokens.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(often, ["h", "salt"], "left")
+    marked = materialise(marked.select("node", "h", "w", F.coalesce("often", F.lit(False)).alias("often")), "marked")
+    rare = marked.where("not often").join(hot.select("node", "label"), "node").select("h", "node", "label")
+    other = rare.select("h", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    meet = rare.join(other, "h").where("node < b and label <> label_b").select(F.col("node").alias("a"), "b")
+
+    of_often = F.when(F.col("often"), F.xxhash64("h", "w"))
+    whole = marked.groupBy("node").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("often"), F.col("w")).otherwise(0.0)).alias("part"), F.bit_xor(of_often).alias("set"))
+    heavy = materialise(whole.where(F.col("part") >= (how.similarity - 1e-9) * F.col("w")).join(hot, "node"), "heavy")
+    lightest = heavy.groupBy("set").agg(F.min_by("node", F.struct("w", "node")).alias("node")).select("node")
+
+    def blocks(rows: DataFrame, side: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                for at in range(0, x.num_rows, how.block):
+                    y = x.slice(at, how.block)
+                    columns = [np.ascontiguousarray(y.column(c).to_numpy()) for c in ("node", "label")]
+                    sketch = np.stack([y.column(c).to_numpy() for c in _SKETCH], 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary()) for z in (*columns, sketch)], [f"{side}{i}" for i in range(3)])
+
+        n = max(1, -(-rows.count() // how.block))
+        return rows.select("node", "label", *_SKETCH).repartitionByRange(n, "label", "node").mapInArrow(run, ", ".join(f"{side}{i} binary" for i in range(3)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for row in x.to_pylist():
+                (a, la, sa), (b, lb, sb) = ([np.frombuffer(row[f"{side}{i}"], np.int64) for i in range(3)] for side in "xy")
+                if la[0] == lb[0] and (la == la[0]).all() and (lb == lb[0]).all():
+                    continue
+                sa, sb = sa.view(np.uint8).reshape(len(a), -1), sb.view(np.uint8).reshape(len(b), -1)
+                for i in range(len(a)):
+                    fits = np.flatnonzero(lb != la[i])
+                    fits = fits[(sb[fits] == sa[i]).sum(1) >= how.least_agree]
+                    if len(fits):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[fits])), pa.array(np.maximum(a[i], b[fits]))], ["a", "b"])
+
+    nodes, stars = materialise(blocks(heavy, "x"), "blocks"), materialise(blocks(heavy.join(lightest, "node", "left_semi"), "y"), "blocks")
+    crossed = nodes.crossJoin(stars).repartition(max(1, min(2000, nodes.count() * stars.count()))).mapInArrow(compare, "a long, b long")
+    return agreeing(meet.distinct(), hot, how).unionByName(crossed).distinct()
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
@@ -187,9 +269,7 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, weights: Weights, how: Near) -> DataFrame:
     """a, b, similarity of the pairs at or above the threshold, by their whole texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    near = passing(docs.select("doc_id", "text"), "doc_id", id_filter(ids, 2 * pairs.count()))  # most texts have no near copy: they are not shuffled
-    texts = materialise(near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 2 * pairs.count(), docs)
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     schema = T.StructType([*pairs.schema.fields, T.StructField("similarity", T.DoubleType())])
 
@@ -232,8 +312,15 @@ def classes(docs: DataFrame, how: Near = Near()) -> DataFrame:
     signed = materialise(signatures(docs, weights, how), "signatures")
     nodes = materialise(signed.groupBy("d0", "d1").agg(F.min("doc_id").cast("long").alias("node"), *[F.min(c).alias(c) for c in (*_BANDS, *_SKETCH)]), "nodes")
     named = nodes.where("node is not null")
-    pairs = materialise(agreeing(links(named.select("node", *_BANDS), how), named, how), "pairs")
-    labels = components(verified(pairs, docs, weights, how))
+    rows = materialise(band_rows(named.select("node", *_BANDS), how), "bands")
+    pairs = materialise(agreeing(links(rows), named, how), "pairs")
+    edges = materialise(verified(pairs, docs, weights, how), "verified")
+    labels = components(edges)
+    hot = rows.where("hot").select("node").distinct().join(named.select("node", *_SKETCH), "node").join(labels, "node", "left")
+    hot = materialise(hot.withColumn("label", F.coalesce("label", "node")), "hot")
+    if hot.limit(1).count():
+        more = verified(materialise(missed(hot, docs, weights, how), "missed"), docs, weights, how)
+        labels = components(edges.unionByName(more))
     known = nodes.select("d0", "d1", "node").join(labels, "node", "left").select("d0", "d1", F.coalesce("label", "node").alias("class_id"))
     out = signed.select("doc_id", "d0", "d1").join(known, ["d0", "d1"])
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))

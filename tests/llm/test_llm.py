@@ -147,3 +147,19 @@ def test_restoring():
     counts = sum((toxicity.trigram_vector(__import__("pyarrow").array(["moron stupid idiot loser " * 50])) for _ in range(2)), np.zeros(28**3, np.int64))
     cost = toxicity.model(counts).tolist()
     assert [toxicity.restore(s, cost) for s in ("m0r0n", "stuuuupid", "i d i o t", "l0$er")] == ["moron", "stupid", "idiot", "loser"]
+
+
+def test_near_dedup_of_hot_bands(spark):
+    """A family of texts that share a passage, just under the threshold, against brute force over all pairs."""
+    passage, texts = " ".join(f"licence{i}" for i in range(604)), []
+    for i in range(1500):
+        own = [f"own{i}x{j}" for j in range(41)]
+        texts.append(" ".join([passage, *([f"both{i // 2}x{j}" for j in range(6)] if i < 160 else own[:6]), *own[6:]]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    common = set.intersection(*sets)
+    all_share, own = len(common) * near_dedup.Near().floor, [s - common for s in sets]
+    similar = {(i, j): (all_share + m) / (all_share + len(own[i]) + len(own[j]) - m) for i in range(len(own)) for j in range(i) for m in [len(own[i] & own[j])]}
+    assert sorted(p for p, s in similar.items() if s >= 0.8) == [(i + 1, i) for i in range(0, 160, 2)] and min(similar.values()) > 0.78
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    assert got == {i: i - i % 2 if i < 160 else i for i in range(len(texts))}
