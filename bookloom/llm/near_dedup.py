@@ -2,8 +2,8 @@
 
 1. Shingles are five words (a shorter text is one shingle), hashed to 64 bits.  Their weight is (1 + ln tf) * idf; idf
    is ln(1 + N / df), scaled to 1 for all shingles in at most `common` of the texts and at least `floor` for the rest.
-   So only the frequent shingles need a df: lossy counting over all texts finds them, and there are at most
-   (shingles of a text) / `common` of them.
+   So only the frequent shingles need a df: lossy counting over all texts lists at most 4 (shingles of a text) / `common`
+   of them, which are then counted exactly.
 2. A text's sketch is 4 permutations of 16 bins: each shingle falls into one bin of each and the bin keeps the
    shingle with the least sampled value (r, c, beta of consistent weighted sampling come from the hash).  A band is one
    bin over the 4 permutations.
@@ -97,18 +97,39 @@ class Weights:
 
 
 def common_shingles(docs: DataFrame, how: Near) -> Weights:
-    """Lossy counting: a slice of texts passes on what at least a quarter of `common` of its texts hold."""
+    """Document frequencies over all texts: lossy counting makes a short list, and a second pass counts what is on it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A slice leaves out what at most three quarters of `common` of its texts hold (nothing where that is less than a text),
+    so a quarter of `common` of all texts is passed on for each common shingle.
+    """
+    lossy = 0.75
+
+    def shortlist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for s in text_slices(batches):
+        for s in text_slices(batches, limit=2 << 20):
             _, what, _, n, _ = shingles(s.column("text"), how.words)
             found, count = np.unique(what, return_counts=True)
-            often = count >= max(2, how.common / 4 * n)
+            often = count > lossy * how.common * n
             yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(count[often])], ["h", "n"])
 
-    total = docs.count()
-    rows = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > how.common * total).collect()
+    total, texts = docs.count(), docs.select("text")
+    least = (1 - lossy) * how.common * total * (1 - 1e-9)
+    listed = texts.mapInArrow(shortlist, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("h").collect()
+    known = np.sort(np.array([r["h"] for r in listed], np.int64).view(_U))
+    if not len(known):
+        return Weights([], total, how)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        counts = np.zeros(len(known), np.int64)
+        for s in text_slices(batches):
+            what = shingles(s.column("text"), how.words)[1]
+            at = np.minimum(np.searchsorted(known, what), len(known) - 1)
+            counts += np.bincount(at[known[at] == what], minlength=len(known))
+        seen = counts > 0
+        yield pa.RecordBatch.from_arrays([pa.array(known[seen].view(np.int64)), pa.array(counts[seen])], ["h", "n"])
+
+    rows = texts.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > how.common * total).collect()
     return Weights([(r["h"], r["n"]) for r in rows], total, how)
 
 

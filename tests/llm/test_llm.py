@@ -163,3 +163,13 @@ def test_near_dedup_of_hot_bands(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
     assert got == {i: i - i % 2 if i < 160 else i for i in range(len(texts))}
+
+
+def test_frequencies_of_long_texts(spark):
+    """A slice holds few long texts, and one of over 1 MB is alone in its slice; all are counted."""
+    phrase = "five words that are common"
+    texts = [" ".join(f"w{i}x{j}" for j in range(100_000 if i == 0 else 5000)) + (f" {phrase}" if i % 25 == 0 or i == 99 else "") for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_dedup.common_shingles(docs, near_dedup.Near())
+    _, what, _, _, _ = near_dedup.shingles(__import__("pyarrow").array([phrase + " x"]), 5)
+    assert set(found.known) & set(what) and len(found.known) == 1 and found.idf[0] == pytest.approx(np.log1p(100 / 5) / np.log1p(50))
