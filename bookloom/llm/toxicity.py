@@ -8,8 +8,8 @@
 4. All texts are restored and scored.
 
 Edge cases: a null or empty text has no words and gets the score of a text without any suspect word; without labels
-the score is 0 for all; rows with a null doc_id are scored and not held out; repeated rows are scored each; words
-longer than `LONGEST` characters are not restored but still looked up; other columns are left out.
+the score is 0 for all; rows with a null doc_id are scored and not held out; repeated rows are scored each; spans of
+any length are restored, those over `CACHED` characters anew each time; other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from bookloom.llm.vocab import Cache, release
 # Characters that stand for letters in disguised spelling.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = " .-_*~·"
-LONGEST = 60
+CACHED = 200
 #: Costs (negative log probabilities) of the channel: a sign read as a letter, a separator or a repeated letter left out, a letter kept.
 READ, LEFT_OUT, TWICE = 1.0, 0.4, 0.3
 _N = 28  # 0 border, 1-26 letters, 27 other
@@ -93,7 +93,8 @@ def _cls(ch: str) -> int:
 
 def restore(noisy: str, cost: list) -> str:
     """The likeliest reading of a lower-case string: Viterbi over (last two classes), cost[a][b][c] from the model."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # A reading is (reading before, last letter): states share what they have in common, so time and memory are linear.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for i, ch in enumerate(noisy):
         choices: list[tuple[str, float]] = []
         if ch.isalpha():
@@ -106,18 +107,23 @@ def restore(noisy: str, cost: list) -> str:
                 choices.append(("", TWICE))
         if ch in SEPARATORS or not choices or ch in "!|+(":
             choices += [("", LEFT_OUT), (" ", 0.0)]
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (total, text) in states.items():
             for out, price in choices:
                 if out == "" or (out == " " and b == 0):
-                    key, value = (a, b), (total + price, text + (out if text else ""))
+                    key, value, then = (a, b), total + price, text if out == "" else (text, out)
                 else:
                     c = 0 if out == " " else _cls(out)
-                    key, value = (b, c), (total + price + cost[a][b][c], text + out)
-                if key not in new or value < new[key]:
-                    new[key] = value
+                    key, value, then = (b, c), total + price + cost[a][b][c], (text, out)
+                if key not in new or value < new[key][0]:
+                    new[key] = value, then
         states = new
-    return min((total + cost[a][b][0] * (b != 0), text) for (a, b), (total, text) in states.items())[1].strip()
+    text = min(((total + cost[a][b][0] * (b != 0), text) for (a, b), (total, text) in states.items()), key=lambda x: x[0])[1]
+    letters = []
+    while text is not None:
+        text, out = text
+        letters.append(out)
+    return "".join(reversed(letters)).strip()
 
 
 class Restorer:
@@ -127,7 +133,11 @@ class Restorer:
 
     def read(self, span: str) -> tuple[str, ...]:
         """The words that a disguised span stands for."""
-        return tuple(restore(span, self.cost).split()) if len(span) <= LONGEST else (span,)
+        return tuple(restore(span, self.cost).split())
+
+    def known(self, span: str) -> tuple[str, ...]:
+        """What `read` gives; long spans hardly come again and are not kept."""
+        return self.words[span] if len(span) <= CACHED else self.read(span)
 
     def span(self, span: str) -> tuple[str, ...]:
         """Words of a span without white space, in lower case."""
@@ -136,12 +146,12 @@ class Restorer:
             return (word,)
         low = span.lower().rstrip(".,;:?\"')")
         if _REPEATED.search(low) or _DISGUISED.search(low):
-            return (word, *self.words[low])
+            return (word, *self.known(low))
         return (word,) if word else ()
 
     def text(self, text: str) -> tuple[list[str], list[tuple[str, ...]]]:
         """The spans of a text, and the words of each stretch that is spelled out in single characters."""
-        return _WORD.findall(text), [self.words[re.sub(r"\s+", " ", m.group().lower())] for m in _SPELLED.finditer(text)]
+        return _WORD.findall(text), [self.known(re.sub(r"\s+", " ", m.group().lower())) for m in _SPELLED.finditer(text)]
 
 
 def features(word: str) -> list[str]:

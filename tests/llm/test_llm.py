@@ -173,3 +173,16 @@ def test_frequencies_of_long_texts(spark):
     found = near_dedup.common_shingles(docs, near_dedup.Near())
     _, what, _, _, _ = near_dedup.shingles(__import__("pyarrow").array([phrase + " x"]), 5)
     assert set(found.known) & set(what) and len(found.known) == 1 and found.idf[0] == pytest.approx(np.log1p(100 / 5) / np.log1p(50))
+
+
+def test_restoring_long_spans():
+    """A sentence in single letters is one span of any length, and so are words joined by marks."""
+    words = "you are a stupid worthless moron go away".split()
+    restorer = toxicity.Restorer(toxicity.model(toxicity.trigram_vector(__import__("pyarrow").array([" ".join(words * 50)]))))
+    scorer = toxicity.Scorer(restorer, {"moron": 5.0, "stupid": 4.0})
+    for times in (1, 6):
+        spelled = "".join(" ".join(words * times).replace(" ", ""))
+        assert len(" ".join(spelled)) > 60
+        for text in (" ".join(spelled), "_".join(words * (2 * times)).replace("o", "0")):
+            assert scorer.rows([text])[0, 0] == 5.0
+    assert restorer.span("x1" * 20000)[0] == "x1" * 20000
