@@ -12,9 +12,9 @@
 4. Linked pairs whose sketches agree by less than `least_agree` of 64 (over four standard deviations below the
    threshold) are left out; the others are verified by weighted Jaccard similarity over their whole texts.
 5. Verified links are closed into classes by minimum labels with pointer jumping, each round written to the shared folder.
-6. Nodes of hot bands that are in different classes by now are compared by their shingles (`missed`): pairs that share a
-   shingle of few nodes meet there; all others share frequent shingles only, and meet by the lightest text of each set of
-   these.  New verified links are closed again.
+6. Nodes of hot bands that are in different classes by now are compared by their shingles (`missed`), with an exact prefix
+   filter: pairs that share a shingle of few nodes meet there; all others share frequent shingles only, and meet by the
+   lightest text of each set of these.  New verified links are closed again.
 
 Edge cases: a null or empty text has no shingles; all such texts are one class; repeated rows join one class; a row
 with a null doc_id gets the class of its text, which is null where no such text has an identifier; an empty table
@@ -42,14 +42,14 @@ _ODD = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 
 @dataclass(frozen=True)
 class Near:
-    """Words of a shingle, similarity, share of texts above which a shingle counts as common, least idf, agreement, salts, nodes of a small band or shingle, nodes of a block."""
+    """Words of a shingle, similarity, share of texts above which a shingle counts as common, least idf, agreement, nodes of a part of a hot band, of a small band or shingle, of a block."""
 
     words: int = 5
     similarity: float = 0.8
     common: float = 0.02
     floor: float = 0.5
     least_agree: int = 38
-    salts: int = 32
+    part: int = 256
     small: int = 16
     block: int = 1000
 
@@ -179,12 +179,12 @@ def signatures(docs: DataFrame, weights: Weights, how: Near) -> DataFrame:
 
 
 def band_rows(nodes: DataFrame, how: Near) -> DataFrame:
-    """key, node, two further bands n1, n2, an order o and `hot` (more than `small` nodes have the band) of every band of two nodes or more."""
+    """key, node, two further bands n1, n2, an order o, `hot` (more than `small` nodes have the band) and a salt (a part of a hot band) of every band of two nodes or more."""
     bands = [F.struct(F.col(b).alias("key"), F.coalesce(F.col(_BANDS[(i + 1) % BINS]), F.lit(0)).alias("n1"), F.coalesce(F.col(_BANDS[(i + 6) % BINS]), F.lit(0)).alias("n2")) for i, b in enumerate(_BANDS)]
     rows = nodes.select("node", F.explode(F.array(*bands)).alias("x")).where("x.key is not null").select("x.key", "node", "x.n1", "x.n2", F.xxhash64("node").alias("o"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("n1"), F.lit(how.salts)).cast("int"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    return salted.join(sizes, "key").withColumn("hot", F.col("m") > how.small).drop("m")
+    salt = F.pmod(F.col("o"), F.ceil(F.col("m") / how.part).cast("long"))  # by the node: near copies share bands, not this
+    return rows.join(sizes, "key").withColumns({"hot": F.col("m") > how.small, "salt": salt}).drop("m")
 
 
 def links(rows: DataFrame) -> DataFrame:
@@ -214,11 +214,12 @@ def texts_of(ids: DataFrame, most: int, docs: DataFrame) -> DataFrame:
 def missed(hot: DataFrame, docs: DataFrame, weights: Weights, how: Near) -> DataFrame:
     """hot: node, label (its class so far), sketch.  Candidates (a, b) that connect all nodes of similarity enough.
 
-    Let a shingle be frequent if more than `small` of the nodes have it.  Two nodes that share another one meet there.  If x
-    and y share frequent ones only, with overlap o, their similarity is o / (w(x) + w(y) - o).  Of the nodes with the same
-    frequent shingles as y, the lightest, v, is at least as similar to x; and with u the lightest for x, so are u and v, and u
-    and y: x - v - u - y is a chain.  So each node is compared with the lightest ones only.  A node of such a pair has a
-    share of `similarity` of its weight in frequent shingles.
+    Shingles have one order, by how many of the nodes have them.  Two nodes of similarity t share t of the weight of
+    either, so the first shingle that they share is in the prefix of both: the first shingles up to 1 - t of the weight.
+    A rare one (`small` nodes at most) makes all pairs of its nodes.  If the first is frequent, all that they share is; with
+    overlap o the similarity of x and y is o / (w(x) + w(y) - o), and of the nodes with the same frequent shingles as y, the
+    lightest, v, is at least as similar to x; with u the lightest for x, so are u and v, and u and y: x - v - u - y is a
+    chain.  So nodes are compared with the lightest ones only, in blocks of those with a frequent prefix shingle in common.
     """
     texts = texts_of(hot.select(F.col("node").alias("doc_id")), hot.count(), docs)
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("h", T.LongType()), T.StructField("w", T.DoubleType())])
@@ -230,49 +231,57 @@ def missed(hot: DataFrame, docs: DataFrame, weights: Weights, how: Near) -> Data
             ids = s.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(what.view(np.int64)), pa.array(weights.of(what, tf))], schema.names)
 
-    salts = 8
     tokens = materialise(texts.mapInArrow(explode, schema), "tokens")
-    often = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > how.small)
-    often = often.select("h", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"), F.lit(True).alias("often"))
-    marked = tokens.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(often, ["h", "salt"], "left")
-    marked = materialise(marked.select("node", "h", "w", F.coalesce("often", F.lit(False)).alias("often")), "marked")
-    rare = marked.where("not often").join(hot.select("node", "label"), "node").select("h", "node", "label")
+    shared = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own, often = Window.partitionBy("node"), F.col("df") > how.small
+    ahead = own.orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = tokens.join(shared, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ranked = ranked.withColumns({"total": F.sum("w").over(own), "part": F.sum(F.when(often, F.col("w")).otherwise(0.0)).over(own), "set": F.bit_xor(F.when(often, F.xxhash64("h", "w"))).over(own), "before": F.coalesce(F.sum("w").over(ahead), F.lit(0.0))})
+    prefix = materialise(ranked.where((F.col("before") <= (1 - how.similarity + 1e-9) * F.col("total")) & (F.col("df") > 1)).select("node", "h", often.alias("often"), "total", "part", "set"), "prefix")
+
+    rare = prefix.where("not often").join(hot.select("node", "label"), "node").select("h", "node", "label")
     other = rare.select("h", F.col("node").alias("b"), F.col("label").alias("label_b"))
     meet = rare.join(other, "h").where("node < b and label <> label_b").select(F.col("node").alias("a"), "b")
 
-    of_often = F.when(F.col("often"), F.xxhash64("h", "w"))
-    whole = marked.groupBy("node").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("often"), F.col("w")).otherwise(0.0)).alias("part"), F.bit_xor(of_often).alias("set"))
-    heavy = materialise(whole.where(F.col("part") >= (how.similarity - 1e-9) * F.col("w")).join(hot, "node"), "heavy")
-    lightest = heavy.groupBy("set").agg(F.min_by("node", F.struct("w", "node")).alias("node")).select("node")
+    heavy = prefix.where("often")
+    lightest = heavy.groupBy("set").agg(F.min_by("node", F.struct("total", "node")).alias("node")).select("node")
+    salts = 8
 
     def blocks(rows: DataFrame, side: str) -> DataFrame:
+        """h and the nodes, labels, weights (all, of frequent shingles) and sketches of up to `block` of its rows."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
-                for at in range(0, x.num_rows, how.block):
-                    y = x.slice(at, how.block)
-                    columns = [np.ascontiguousarray(y.column(c).to_numpy()) for c in ("node", "label")]
-                    sketch = np.stack([y.column(c).to_numpy() for c in _SKETCH], 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary()) for z in (*columns, sketch)], [f"{side}{i}" for i in range(3)])
-
-        n = max(1, -(-rows.count() // how.block))
-        return rows.select("node", "label", *_SKETCH).repartitionByRange(n, "label", "node").mapInArrow(run, ", ".join(f"{side}{i} binary" for i in range(3)))
+                h = x.column("h").to_numpy()
+                cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]]) if len(h) else [0]
+                for begin, end in zip(cuts[:-1], cuts[1:]):
+                    for at in range(begin, end, how.block):
+                        y = x.slice(at, min(how.block, end - at))
+                        columns = [np.ascontiguousarray(y.column(c).to_numpy()) for c in ("node", "label", "total", "part")]
+                        sketch = np.stack([y.column(c).to_numpy() for c in _SKETCH], 1)
+                        yield pa.RecordBatch.from_arrays([pa.array([h[begin]]), *[pa.array([z.tobytes()], pa.binary()) for z in (*columns, sketch)]], ["h", *[f"{side}{i}" for i in range(5)]])
+
+        dealt = rows.join(hot, "node").select("h", "label", "node", "total", "part", *_SKETCH).repartition("h", F.pmod(F.xxhash64("label", "node"), F.lit(salts))).sortWithinPartitions("h", "label", "node")
+        return materialise(dealt.mapInArrow(run, "h long, " + ", ".join(f"{side}{i} binary" for i in range(5))), "blocks")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for row in x.to_pylist():
-                (a, la, sa), (b, lb, sb) = ([np.frombuffer(row[f"{side}{i}"], np.int64) for i in range(3)] for side in "xy")
+                (a, la, wa, pa_, sa), (b, lb, wb, pb, sb) = ([np.frombuffer(row[f"{side}{i}"], np.float64 if i in (2, 3) else np.int64) for i in range(5)] for side in "xy")
                 if la[0] == lb[0] and (la == la[0]).all() and (lb == lb[0]).all():
                     continue
                 sa, sb = sa.view(np.uint8).reshape(len(a), -1), sb.view(np.uint8).reshape(len(b), -1)
                 for i in range(len(a)):
-                    fits = np.flatnonzero(lb != la[i])
+                    # what two nodes share of frequent shingles is at most the lesser of what they have of them
+                    fits = np.flatnonzero((lb != la[i]) & (np.minimum(pa_[i], pb) * (1 + how.similarity) >= (how.similarity - 1e-9) * (wa[i] + wb)))
                     fits = fits[(sb[fits] == sa[i]).sum(1) >= how.least_agree]
                     if len(fits):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[fits])), pa.array(np.maximum(a[i], b[fits]))], ["a", "b"])
 
-    nodes, stars = materialise(blocks(heavy, "x"), "blocks"), materialise(blocks(heavy.join(lightest, "node", "left_semi"), "y"), "blocks")
-    crossed = nodes.crossJoin(stars).repartition(max(1, min(2000, nodes.count() * stars.count()))).mapInArrow(compare, "a long, b long")
-    return agreeing(meet.distinct(), hot, how).unionByName(crossed).distinct()
+    members = blocks(heavy, "x").withColumn("salt", F.pmod(F.xxhash64("x0"), F.lit(salts)))
+    stars = blocks(heavy.join(lightest, "node", "left_semi"), "y").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
+    met = members.join(stars, ["h", "salt"]).mapInArrow(compare, "a long, b long")
+    return agreeing(meet.distinct(), hot, how).unionByName(met).distinct()
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
@@ -328,7 +337,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, how: Near = Near()) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), kept (true for that document) of every row."""
+    """doc_id, class_id (the least doc_id of its class), kept (true for that document), n_links of every row.
+
+    n_links counts the verified links between its text and other texts: all within small bands, what joins the class in hot ones.
+    """
     weights = common_shingles(docs, how)
     signed = materialise(signatures(docs, weights, how), "signatures")
     nodes = materialise(signed.groupBy("d0", "d1").agg(F.min("doc_id").cast("long").alias("node"), *[F.min(c).alias(c) for c in (*_BANDS, *_SKETCH)]), "nodes")
@@ -340,11 +352,14 @@ def classes(docs: DataFrame, how: Near = Near()) -> DataFrame:
     hot = rows.where("hot").select("node").distinct().join(named.select("node", *_SKETCH), "node").join(labels, "node", "left")
     hot = materialise(hot.withColumn("label", F.coalesce("label", "node")), "hot")
     if hot.limit(1).count():
-        more = verified(materialise(missed(hot, docs, weights, how), "missed"), docs, weights, how)
-        labels = components(edges.unionByName(more))
-    known = nodes.select("d0", "d1", "node").join(labels, "node", "left").select("d0", "d1", F.coalesce("label", "node").alias("class_id"))
+        more = materialise(verified(materialise(missed(hot, docs, weights, how), "missed"), docs, weights, how), "verified")
+        edges = edges.unionByName(more)
+        labels = components(edges)
+    ends = edges.select("a", "b").distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    known = nodes.select("d0", "d1", "node").join(labels, "node", "left").join(ends, "node", "left")
+    known = known.select("d0", "d1", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = signed.select("doc_id", "d0", "d1").join(known, ["d0", "d1"])
-    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"), "n_links")
 
 
 def keep(docs: DataFrame, how: Near = Near()) -> DataFrame:
