@@ -24,9 +24,8 @@ RULES = [url_filters.Rule(*r) for r in (("com", "/en/", "block"), ("example.com"
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page counts as labelled where `labels` has its number: bad where that row is of low quality or toxic."""
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
-    return url_filters.judge(_table(spark, sf_dir, "pages"), labels, RULES)
+    """No table labels pages: what an explicit rule blocks is bad, all else good, and templates are judged by that."""
+    return url_filters.judge(_table(spark, sf_dir, "pages"), RULES)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the archives of all pages and reads them back."""
     pages = _table(spark, sf_dir, "pages")
     path = scratch_path(spark, "archives")
-    warc.write_archives(warc.resolve(pages.select(pages["page_id"].alias("record_id"), pages["url"].alias("uri"), pages["html"].alias("payload"))), path)
+    warc.write_archives(pages.select(pages["page_id"].alias("record_id"), pages["url"].alias("uri"), pages["html"].alias("payload")), path)
     return warc.read_archives(spark, path, payloads=False).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -111,7 +111,7 @@ def test_warc(spark):
     big = "<p>" + "y" * 1500
     rows = [(1, "http://a/\r\nb", big), (2, "http://a", big), (3, None, "small"), (4, "u", "small"), (5, "v", None), (None, "w", big), (2, "http://a", big), (7, "x", "WARC/1.1\r\n\r\n" * 200)]
     path = scratch_path(spark, "w")
-    warc.write_archives(warc.resolve(spark.createDataFrame(rows, "record_id long, uri string, payload string")), path)
+    warc.write_archives(spark.createDataFrame(rows, "record_id long, uri string, payload string"), path)
     got = sorted(warc.read_archives(spark, path).collect(), key=lambda r: (r["record_id"] is None, r["record_id"], r["record_type"]))
     assert [(r["record_id"], r["record_type"], r["refers_to"]) for r in got][:3] == [(1, "revisit", 2), (2, "response", None), (2, "response", None)]
     assert len(got) == len(rows) and all(r["payload_bytes"] == len((dict((a, c) for a, _, c in rows)[r["record_id"]] or "").encode()) for r in got)
@@ -122,7 +122,7 @@ def test_url_filters(spark):
     rows = [(i, f"https://Shop.example.com/item/{i}.html?x") for i in range(40)] + [(50 + i, f"https://shop.example.com/spam/{i}") for i in range(40)] + [(200, None), (201, "no scheme"), (202, "x://a.net/de/8")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame([(i, int(i >= 50)) for i in range(90)], "page_id long, bad int")
-    got = {r["page_id"]: r for r in url_filters.judge(pages, labels, [url_filters.Rule("net", "/de/", "block")]).collect()}
+    got = {r["page_id"]: r for r in url_filters.judge(pages, [url_filters.Rule("net", "/de/", "block")], labels).collect()}
     assert got[3]["host"] == "shop.example.com" and got[3]["path"] == "/item/3.html" and got[3]["template"] == "/item/*.html"
     assert got[3]["verdict"] == "allow" and got[60]["verdict"] == "block" and got[202]["rule"] == "net/de/" and got[202]["verdict"] == "block"
     assert got[200]["host"] == got[201]["path"] == "" and len(got) == len(rows)
