@@ -1,16 +1,19 @@
 """Lexical retrieval packing: documents that share words are packed into the same windows.
 
-1. Every text is encoded once (library tokenizer, a bounded cache by span of text) and written to the shared folder
-   with a route: the least hash of its 3-token windows, which near copies have in common.
+1. Every text is encoded once (library tokenizer, a bounded cache by span of text) and written to the shared folder.
 2. Document frequencies of all tokens are summed over all rows (one vector of the vocabulary's size).
-3. Rows are range-partitioned by (route, doc_id): a route that very many rows have is cut by doc_id.  A task takes
-   its sorted rows in shards of bounded size, each with an inverted index under BM25 weights.
-4. The next unused document of a shard is the seed; its best unused neighbours fill the seed's window while they
-   fit, the next best is cut at the window's end, and what is left of it is the seed of the next window.  The last
-   window of a shard is cut into sequences whose lengths are powers of two, which need no padding.
+3. A text's route is its two tokens of the largest ln(1 + tf) * idf that some other text has too; it spreads over all routes
+   whatever the text's length.  Rows are range-partitioned by (route, doc_id): a route that very many rows have is
+   cut by doc_id.  A task takes its sorted rows in shards of bounded size, each with an inverted index under BM25 weights.
+4. The next unused document of a shard is the seed, all its tokens are the query; its unused neighbours, best first, fill
+   the seed's window while they fit, the best that did not is cut at the window's end, and what is left of it is the seed of
+   the next window.  The last window of a shard is cut into sequences whose lengths are powers of two, which need no padding.
+
+Neighbours come from the seed's own shard, as the index is sharded; the README says how many of the true ones are there.
 
 Edge cases: a null or empty text is the end token alone; repeated rows are packed each; rows with a null doc_id are
-packed too; an empty table has no pieces; a document longer than a window spans several; other columns are left out.
+packed too; an empty table has no pieces; a document longer than a window spans several; doc_id is of any atomic type;
+other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bookloom.llm.common import mix, scratch_path, sum_vectors, text_slices
 from bookloom.llm.vocab import locate, once
@@ -43,17 +47,15 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Packing:
-    """Window length, end token, shard and partition sizes in tokens, BM25's k1 and b, query terms and neighbours."""
+    """Window length, end token, tokens of a shard, tokens of a partition (least, most), BM25's k1 and b, share of a shard's documents from which a token's weights are kept dense."""
 
     window: int = 4096
     end_id: int = 2
     shard_tokens: int = 1 << 20
-    partition_tokens: int = 8 << 20
-    most_partitions: int = 10_000
+    partition_tokens: tuple[int, int] = (4 << 20, 64 << 20)
     k1: float = 1.2
     b: float = 0.75
-    query_terms: int = 24
-    neighbours: int = 64
+    dense: float = 0.15
 
 
 class Encoder:
@@ -113,28 +115,20 @@ def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[at], np.diff(at, append=len(s))
 
 
-def _route(ids: np.ndarray) -> int:
-    x = ids.astype(_U)
-    if len(x) >= 3:
-        x = x[:-2] * _U(0x9E3779B97F4A7C15) + x[1:-1] * _U(0xC2B2AE3D27D4EB4F) + x[2:] * _U(0x165667B19E3779F9)
-    return int(mix(x).min() >> _U(1))
-
-
-def _routes(arrays: list[np.ndarray], step: int = 32) -> np.ndarray:
-    """The route of each array, by passes over a few at once (as many as caches hold)."""
-    if len(arrays) > step:
-        return np.concatenate([_routes(arrays[i : i + step]) for i in range(0, len(arrays), step)])
-    lengths = np.array([len(a) for a in arrays])
-    ends = np.cumsum(lengths)
-    x = np.concatenate(arrays).astype(_U)
-    h = np.full(len(x), ~_U(0))
-    if len(x) >= 3:
-        h[:-2] = mix(x[:-2] * _U(0x9E3779B97F4A7C15) + x[1:-1] * _U(0xC2B2AE3D27D4EB4F) + x[2:] * _U(0x165667B19E3779F9))
-    h[ends - 1] = h[np.maximum(ends - 2, 0)] = ~_U(0)  # windows that would reach into the next text
-    out = (np.minimum.reduceat(h, ends - lengths) >> _U(1)).astype(np.int64)
-    for i in np.flatnonzero(lengths < 3):
-        out[i] = _route(arrays[i])
-    return out
+def routes(arrays: list[np.ndarray], seen: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The route of each array; one without a token that others have gets a route by its first token."""
+    lengths = [len(a) for a in arrays]
+    keys = np.concatenate(arrays).astype(np.int64) | np.repeat(np.arange(len(arrays)) << 16, lengths)
+    keys.sort()
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    token, tf = keys[at] & 0xFFFF, np.diff(at, append=len(keys))
+    weight = np.where(seen[token] > 1, np.log1p(tf) * idf[token], 0).astype(np.float32)
+    ranked = weight.view(np.uint32).astype(_U) << _U(16) | token.astype(_U)
+    begin = np.searchsorted(keys[at] >> 16, np.arange(len(arrays)))
+    first = np.maximum.reduceat(ranked, begin)
+    ranked[ranked == np.repeat(first, np.diff(begin, append=len(ranked)))] = 0
+    second = np.maximum.reduceat(ranked, begin)
+    return ((mix((first & _U(0xFFFF)) + _U(1)) >> _U(17) << _U(16)) | (second & _U(0xFFFF))).astype(np.int64)
 
 
 def _documents_with(arrays: list[np.ndarray]) -> np.ndarray:
@@ -145,9 +139,9 @@ def _documents_with(arrays: list[np.ndarray]) -> np.ndarray:
 
 
 def encode(docs: DataFrame, tokenizer: str, how: Packing) -> DataFrame:
-    """doc_id, ids (16-bit, with the end token), n, route; a row with `seen` (document frequencies) for each task."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("route", T.LongType()), T.StructField("seen", T.BinaryType())])
-    kind = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}[docs.schema["doc_id"].dataType.typeName()]
+    """doc_id, ids (16-bit, with the end token), n; a row with `seen` (document frequencies) for each task."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("seen", T.BinaryType())])
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
     end = np.array([how.end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +152,23 @@ def encode(docs: DataFrame, tokenizer: str, how: Packing) -> DataFrame:
             arrays = [np.frombuffer(i, "<u2") for i in got]
             if arrays:
                 seen += _documents_with(arrays)
-            yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(kind), pa.array(got, pa.binary()), pa.array([len(a) for a in arrays], pa.int64()), pa.array(_routes(arrays) if arrays else [], pa.int64()), pa.nulls(len(got), pa.binary())], schema.names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([seen.tobytes()], pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(kind), pa.array(got, pa.binary()), pa.array([len(a) for a in arrays], pa.int64()), pa.nulls(len(got), pa.binary())], schema.names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), pa.array([seen.tobytes()], pa.binary())], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def routed(kept: DataFrame, seen: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """kept (doc_id, ids) with the routes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in text_slices(batches, "ids"):
+            arrays = [np.frombuffer(i.as_buffer(), "<u2") for i in s.column("ids")]
+            yield pa.RecordBatch.from_arrays([*s.columns, pa.array(routes(arrays, seen, idf))], [*s.schema.names, "route"])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("route", T.LongType())]))
+
+
 def frequencies(encoded: DataFrame) -> np.ndarray:
     """Documents that hold each token, over all rows."""
     return sum_vectors(encoded.where("seen is not null").select("seen"), 1 << 16)
@@ -184,22 +189,34 @@ class Shard:
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order].astype(np.float32)
         self.begin = np.searchsorted(term[order], np.arange((1 << 16) + 1))
+        often = np.flatnonzero(np.diff(self.begin) > how.dense * len(docs))
+        self.row = np.full(1 << 16, -1)
+        self.row[often] = np.arange(len(often))
+        self.table = np.zeros((len(often), len(docs)), np.float32)  # weights of the tokens that many documents have
+        for k, t in enumerate(often):
+            s = slice(self.begin[t], self.begin[t + 1])
+            self.table[k, self.owner[s]] = self.weight[s]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for all tokens of the seed."""
+        terms = self.terms[seed].astype(np.int64)
+        row = self.row[terms]
+        out = self.table[row[row >= 0]].sum(0, dtype=np.float64)
+        spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms[row < 0]]
+        if spans:
+            out += np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.docs))
+        return out
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        terms = self.terms[seed]
-        if len(terms) > self.how.query_terms:
-            terms = terms[np.argpartition(-self.idf[terms], self.how.query_terms)[: self.how.query_terms]]
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms.astype(np.int64)]
-        scores = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.docs))
-        scores[~unused] = 0
-        best = np.argpartition(-scores, self.how.neighbours)[: self.how.neighbours] if len(scores) > self.how.neighbours else np.arange(len(scores))
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))]
+        """The unused documents that share a token with the seed, best first."""
+        scores = np.where(unused, self.scores(seed), 0)
+        best = np.flatnonzero(scores > 0)
+        return best[np.argsort(-scores[best], kind="stable")]
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, how: Packing) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece of the shard's documents."""
-    shard, unused = Shard(docs, idf, mean, how), np.ones(len(docs), bool)
+    shard, unused, lengths = Shard(docs, idf, mean, how), np.ones(len(docs), bool), np.array([len(d) for d in docs])
     sequence, filled, pieces = 0, 0, []
 
     def place(d: int) -> None:
@@ -220,15 +237,13 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, how: Packin
             if not filled:
                 break
             near = shard.neighbours(seed, unused)
-            over = [int(d) for d in near if len(docs[d]) > how.window - filled]
-            for d in near:
-                if len(docs[d]) <= how.window - filled:
-                    place(int(d))
-                if not filled:
-                    break
-            if not filled or not over:
+            over, at = near[lengths[near] > how.window - filled], 0
+            while filled and len(fits := np.flatnonzero(lengths[near[at:]] <= how.window - filled)):
+                at += int(fits[0]) + 1
+                place(int(near[at - 1]))
+            if not filled or not len(over):
                 break
-            seed = over[0]
+            seed = int(over[0])
             place(seed)  # cut at the window's end: what is left begins the next window, as its seed
     begun = [p for p in pieces if p[3] == sequence] if filled else []
     yield from pieces[: len(pieces) - len(begun)]
@@ -253,7 +268,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", how: Packing = P
     seen = frequencies(encoded)
     idf = np.log1p((n_docs - seen + 0.5) / (seen + 0.5))
     mean = n_tokens / max(1, n_docs)
-    partitions = max(1, min(how.most_partitions, -(-n_tokens // how.partition_tokens)))
+    least, most = how.partition_tokens
+    partitions = max(1, -(-n_tokens // most), min(-(-n_tokens // least), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,5 +297,5 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", how: Packing = P
         if arrays:
             yield packed()
 
-    dealt = kept.select("doc_id", "ids", "route").repartitionByRange(partitions, "route", F.xxhash64("doc_id")).sortWithinPartitions("route", "doc_id")
+    dealt = routed(kept.select("doc_id", "ids"), seen, idf).repartitionByRange(partitions, "route", F.xxhash64("doc_id")).sortWithinPartitions("route", "doc_id")
     return dealt.select("doc_id", "ids").mapInArrow(run, schema)
