@@ -1,11 +1,13 @@
 """Toxicity of texts behind a noisy channel.
 
 1. A character trigram model is counted over all texts (one vector of fixed size for each task is summed).
-2. Words with digits or marks in the place of letters, with letters repeated, or spelled out in single characters
-   become a lattice of readings; a Viterbi search under the model restores the likeliest text.
+2. Words with digits or marks in the place of letters, with letters repeated, or spelled out in pieces of one or two
+   characters with anything between them become a lattice of readings; a Viterbi search under the model restores the
+   likeliest text.  So do two short neighbours that make a word with odds.
 3. Restored words and their beginnings get log odds from a bounded sample of labelled rows; the largest odds in a
    text and how many words have any are weighed by a logistic regression, fitted with the odds of the other half.
-4. All texts are restored and scored.
+4. All texts are restored and scored.  A span is restored only if its letters, read by the channel and with repeats left
+   out, hold those of a word with odds: others cannot be restored to one, so nothing is lost.
 
 Edge cases: a null or empty text has no words and gets the score of a text without any suspect word; without labels
 the score is 0 for all; rows with a null doc_id are scored and not held out; repeated rows are scored each; spans of
@@ -14,11 +16,13 @@ any length are restored, those over `CACHED` characters anew each time; other co
 
 from __future__ import annotations
 
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,16 +34,22 @@ from bookloom.llm.vocab import Cache, release
 
 # Characters that stand for letters in disguised spelling.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-SEPARATORS = " .-_*~·"
+#: Left out or kept as a border: all else that is no letter and no sign.
+MAYBE = "!|+("
 CACHED = 200
 #: Costs (negative log probabilities) of the channel: a sign read as a letter, a separator or a repeated letter left out, a letter kept.
 READ, LEFT_OUT, TWICE = 1.0, 0.4, 0.3
 _N = 28  # 0 border, 1-26 letters, 27 other
 _MARKS = "!\"#$%&()*+,-./:;<=>?[\\]^_`{|}~'"
 _WORD = re.compile(r"[^ \t-\r]+")
-_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_@$!|][ .\-_*~·]{1,2}){3,}[^\W_](?![^\W_])")
-_REPEATED = re.compile(r"([^\W\d_])\1\1")
-_DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(€£\-_.*~·]|[0-9@$|(€£].*[^\W\d_]")
+_SPELLED = re.compile(r"(?<!\w)(?:[\w@$!|+(€£]{1,2}[^\w@$!|+(€£]{1,3}){2,}[\w@$!|+(€£]{1,2}(?!\w)")
+_REPEATED = re.compile(r"([^\W\d_])\1")
+_DISGUISED = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]", re.S)
+_RUN = re.compile(r"(.)\1+", re.S)
+_OTHER = re.compile(r"[\W\d_]+")
+# Signs by the letter that they stand for; i and l are one, as some signs stand for both.
+_READ = {ord(k): ("i" if "l" in v else v) for k, v in READINGS.items()} | {ord("l"): "i"}
+_LEFT = {k: v for k, v in _READ.items() if chr(k) not in MAYBE}
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:] = 27
@@ -105,7 +115,7 @@ def restore(noisy: str, cost: list) -> str:
             choices += [(r, READ) for r in READINGS[ch]]
             if i and noisy[i - 1] == ch:
                 choices.append(("", TWICE))
-        if ch in SEPARATORS or not choices or ch in "!|+(":
+        if not choices or ch in MAYBE:
             choices += [("", LEFT_OUT), (" ", 0.0)]
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (total, text) in states.items():
@@ -139,19 +149,26 @@ class Restorer:
         """What `read` gives; long spans hardly come again and are not kept."""
         return self.words[span] if len(span) <= CACHED else self.read(span)
 
-    def span(self, span: str) -> tuple[str, ...]:
-        """Words of a span without white space, in lower case."""
+    def span(self, span: str, may=lambda _: True) -> tuple[str, ...]:
+        """Words of a span without white space, in lower case; `may` tells whether a reading is of use."""
         word = span.strip(_MARKS).lower()
         if word.isalpha() and not _REPEATED.search(word):
             return (word,)
         low = span.lower().rstrip(".,;:?\"')")
-        if _REPEATED.search(low) or _DISGUISED.search(low):
+        if (_REPEATED.search(low) or _DISGUISED.search(low)) and may(low):
             return (word, *self.known(low))
         return (word,) if word else ()
 
-    def text(self, text: str) -> tuple[list[str], list[tuple[str, ...]]]:
-        """The spans of a text, and the words of each stretch that is spelled out in single characters."""
-        return _WORD.findall(text), [self.known(re.sub(r"\s+", " ", m.group().lower())) for m in _SPELLED.finditer(text)]
+    def text(self, text: str, may=lambda _: True) -> tuple[list[str], list[tuple[str, ...]]]:
+        """The spans of a text, and the words of each stretch that is spelled out in pieces."""
+        runs = (" ".join(m.group().lower().split()) for m in _SPELLED.finditer(text))
+        return _WORD.findall(text), [self.known(r) for r in runs if may(r)]
+
+
+def skeletons(text: str) -> set[str]:
+    """The letters that a lower-case text can be read as, without repeats: with and without the signs that may be left out."""
+    tables = (_READ, _LEFT) if any(c in text for c in MAYBE) else (_READ,)
+    return {_RUN.sub(r"\1", _OTHER.sub("", text.translate(t))) for t in tables}
 
 
 def features(word: str) -> list[str]:
@@ -164,16 +181,40 @@ class Scorer:
 
     def __init__(self, restorer: Restorer, odds: dict[str, float], weights: np.ndarray | None = None):
         self.restorer, self.odds, self.weights = restorer, odds, weights
+        self.found, self.spans, self.begun = None, None, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"found": None, "spans": None, "begun": None}
+
+    def may(self, span: str) -> bool:
+        """Can a reading of the span hold a word with odds, or its beginning?"""
+        if self.found is None:
+            self.found = ahocorasick.Automaton()
+            for f in self.odds:
+                for s in skeletons(f[2:] if f[1:2] == ":" and f[0] in "456" else f):
+                    if s:
+                        self.found.add_word(s, True)
+            self.found.make_automaton()
+        return bool(len(self.found)) and any(next(self.found.iter(s), None) for s in skeletons(span))
 
     def odd(self, words: tuple[str, ...]) -> float:
-        return max((self.odds.get(f, 0.0) for w in words for f in features(w)), default=0.0)
+        if self.begun is None:  # odds of beginnings
+            self.begun = {f[2:]: o for f, o in self.odds.items() if f[1:2] == ":" and f[0] in "456" and len(f) == 2 + int(f[0])}
+        whole, begun = self.odds, self.begun
+        return max((max(whole.get(w, 0.0), begun.get(w[:4], 0.0), begun.get(w[:5], 0.0), begun.get(w[:6], 0.0)) for w in words), default=0.0)
 
     def rows(self, texts: list[str]) -> np.ndarray:
-        found = [self.restorer.text(t) for t in texts]
-        odds = {s: o for s in set().union(*[f[0] for f in found]) if (o := self.odd(self.restorer.span(s))) > 0}
+        if self.spans is None:  # odds of spans
+            self.spans = Cache(lambda s: self.odd(self.restorer.span(s, self.may)), 200_000)
+        known, words = self.spans, self.odds.keys()
         out = np.zeros((len(texts), 4))
-        for i, (spans, spelled) in enumerate(found):
-            top = sorted([*[odds[s] for s in odds.keys() & set(spans)], *[o for w in spelled if (o := self.odd(w)) > 0]], reverse=True)
+        for i, text in enumerate(texts):
+            spans, spelled = self.restorer.text(text, self.may)
+            low = [s.lower() for s in spans] if not text.islower() else spans
+            if words & set(map(operator.add, low, low[1:])):
+                spelled += [self.restorer.known(f"{a} {b}") for a, b in zip(low, low[1:]) if len(a) < 6 > len(b) and a + b in words]
+            found = [*map(known.__getitem__, set(spans)), *map(self.odd, spelled)]
+            top = sorted(filter(None, found), reverse=True)
             out[i, : min(3, len(top))] = top[:3]
             out[i, 3] = np.log1p(len(top))
         return out
@@ -200,34 +241,34 @@ def train(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), label: str = "to
     half = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int").alias("half")
     sample = materialise(labelled_sample(docs, labels, label, 4, 2, how.most_rows).select("text", "y", half), "sample")
 
-    def counting(wanted: set[str] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: Counter = Counter()
-            release()
-            for s in text_slices(batches):
-                for t, h in zip(s.column("text").to_pylist(), s.column("half").to_pylist()):
-                    spans, spelled = restorer.text(t or "")
-                    words = {w for x in set(spans) for w in restorer.span(x)}.union(*spelled)
-                    found = {f for w in words for f in features(w)}
-                    seen.update((f, h) for f in (found if wanted is None else found & wanted))
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen], pa.string()), pa.array([h for _, h in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["feature", "half", "n"])
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        release()
+        for s in text_slices(batches):
+            for t, y, h in zip(s.column("text").to_pylist(), s.column("y").to_pylist(), s.column("half").to_pylist()):
+                spans, spelled = restorer.text(t or "")
+                words = {w for x in set(spans) for w in restorer.span(x)}.union(*spelled)
+                seen.update((f, y, h) for f in {f for w in words for f in features(w)})
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array([k[2] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["feature", "y", "half", "n"])
 
-        return run
+    n = {(r["y"], r["half"]): r["count"] for r in sample.groupBy("y", "half").count().collect()}
+    nt, nc = (sum(n.get((y, h), 0) for h in (0, 1)) for y in (1, 0))
 
-    def counts(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
-        found = rows.select("text", "half").mapInArrow(counting(wanted), "feature string, half int, n long")
-        return found.groupBy("feature").agg(*[F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)])
+    def of(y: int, h: int):
+        return F.sum(F.when((F.col("y") == y) & (F.col("half") == h), F.col("n")).otherwise(0))
 
-    n = {(r["y"], r["half"]): r["count"] for r in sample.groupBy("y", "half").count().collect()}
-    toxic = counts(sample.where("y = 1"), None).where(F.col("n0") + F.col("n1") >= how.least_texts).orderBy(F.desc(F.col("n0") + F.col("n1")), "feature").limit(how.most_features)
-    seen = {r["feature"]: (r["n0"], r["n1"]) for r in toxic.collect()}
-    clean = {r["feature"]: (r["n0"], r["n1"]) for r in counts(sample.where("y = 0"), set(seen)).collect()}
+    counted = sample.mapInArrow(counting, "feature string, y int, half int, n long").groupBy("feature").agg(*[of(y, h).alias(f"n{y}{h}") for y in (0, 1) for h in (0, 1)])
+    t, c = F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01")
+    whole = F.log((t + 0.5) / (nt + 1)) - F.log((c + 0.5) / (nc + 1))
+    # Those of the greatest odds, and those which only a half has them for, are what the scorers below can use.
+    strong = counted.where(t >= max(2, how.least_texts // 2)).orderBy(F.desc(whole), "feature").limit(how.most_features)
+    seen = {r["feature"]: ((r["n10"], r["n11"]), (r["n00"], r["n01"])) for r in strong.collect()}
 
     def odds(halves: tuple[int, ...], least: int) -> dict[str, float]:
         nt, nc = (sum(n.get((y, h), 0) for h in halves) for y in (1, 0))
         out = {}
-        for f, t in seen.items():
-            t, c = sum(t[h] for h in halves), sum(clean.get(f, (0, 0))[h] for h in halves)
+        for f, (t, c) in seen.items():
+            t, c = sum(t[h] for h in halves), sum(c[h] for h in halves)
             o = np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))
             if t >= least and o >= how.least_odds:
                 out[f] = float(o)
