@@ -4,7 +4,7 @@ Splitters drawn from a sample of all rows cut the order of (normalised text, doc
 because the identifier is in the key, a text with very many copies is cut into several parts too.  Within a part an
 external sort places equal texts adjacent and each row is compared in full with its neighbour.  A run of equal texts
 can only be cut where a splitter lies, so the runs to be joined across parts are at most as many as there are
-splitters: those few, and only those, are summed by digest and broadcast.
+splitters and parts: the heads of those few, and only those, are compared in full, and what they sum to is broadcast by (part, run).
 
 Edge cases: a null text counts as empty; rows with equal doc_id stay separate rows, and of equal texts the one
 smallest doc_id stays (all its repeated rows are marked as not kept but one); null identifiers sort last and stay
@@ -50,7 +50,7 @@ def splitters(rows: DataFrame, parts: int, plan: Plan) -> list[str]:
     want = parts * plan.sample_per_part
     step = max(1, total // max(1, want))
     keys = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(step)) == 0) if step > 1 else rows
-    found = [r[0] for r in keys.select(_sort_key(plan.prefix).alias("k")).orderBy("k").limit(4 * want).collect()]
+    found = [r[0] for r in keys.select(_sort_key(plan.prefix).alias("k")).orderBy(F.xxhash64("k"), "k").limit(4 * want).collect()]
     return sorted({found[i * len(found) // parts] for i in range(1, parts)}) if found else []
 
 
@@ -86,19 +86,15 @@ def dedup(docs: DataFrame, plan: Plan = Plan(), carry: bool = False) -> DataFram
     # Within a part: equal texts are adjacent, identifiers ascend, null ones last.
     order = Window.partitionBy("part").orderBy("norm", F.col("doc_id").asc_nulls_last())
     first = F.coalesce(F.col("norm") != F.lag("norm").over(order), F.lit(True))
-    marked = placed.select("doc_id", "text_sha256", "part", *more, F.row_number().over(order).alias("at"), first.alias("first"))
+    cut = F.col("text_sha256").isin(sorted({c.split("\u0000")[-2] for c in cuts})) if cuts else F.lit(False)
+    marked = placed.select("doc_id", "text_sha256", "part", *more, F.row_number().over(order).alias("at"), first.alias("first"), F.when(first & cut, F.col("norm")).alias("head"))
     begun = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     runs = marked.withColumn("run", F.max(F.when(F.col("first"), F.col("at"))).over(begun))
     whole = Window.partitionBy("part", "run")
-    local = runs.select("doc_id", "text_sha256", *more, F.min("doc_id").over(whole).alias("run_id"), F.count(F.lit(1)).over(whole).alias("run_size"), F.col("first"))
-
-    cut_digests = sorted({c.split("\u0000")[-2] for c in cuts})
-    joined = (
-        rows.where(F.col("text_sha256").isin(cut_digests)).groupBy("text_sha256").agg(F.min("doc_id").alias("all_id"), F.count(F.lit(1)).alias("all_size"))
-        if cut_digests
-        else rows.select("text_sha256", F.col("doc_id").alias("all_id"), F.lit(0).cast("long").alias("all_size")).where(F.lit(False))
-    )
-    out = local.join(F.broadcast(joined), "text_sha256", "left")
+    local = runs.select("doc_id", "text_sha256", *more, "part", "run", "head", "first", F.min("doc_id").over(whole).alias("run_id"), F.count(F.lit(1)).over(whole).alias("run_size"))
+    heads = local.where("head is not null").groupBy("text_sha256", "head").agg(F.min("run_id").alias("all_id"), F.sum("run_size").alias("all_size"), F.collect_list(F.struct("part", "run")).alias("runs"))
+    joined = heads.select(F.explode("runs").alias("at"), "all_id", "all_size").select("at.part", "at.run", "all_id", "all_size")
+    out = local.join(F.broadcast(joined), ["part", "run"], "left")
     keep = F.coalesce("all_id", "run_id")
     kept = F.col("first") & (F.col("doc_id").eqNullSafe(keep))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("all_size", "run_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256", *more)

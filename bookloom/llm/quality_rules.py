@@ -6,6 +6,9 @@ reference pair of histograms for each language (sums over all rows that pass the
 rejected when its Jensen-Shannon distance to the nearest reference is above a limit.  Texts below a length
 guard are not compared.
 
+The references come from the corpus itself, and a text is held against the nearest one, whatever its lang says: a wrong tag
+rejects nothing.  `sql` states the same rows for the oracle.
+
 Edge cases: a null or empty text has zero counts and fails the base rules; a null or unknown language feeds
 no reference but is compared to all of them; without any reference nothing is rejected by distance; repeated
 rows are judged each on its own; further columns of the input are ignored.
@@ -167,4 +170,41 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > rules.max_char_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > rules.max_word_distance)
     out = counts.withColumns({"char_distance": nearest([_char_distance(r[0]) for r in references], F.col("n_chars") >= rules.guard_chars), "word_distance": nearest([_word_distance(r[1]) for r in references], F.col("n_words") >= rules.guard_words)})
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("lang", "n_chars", "chars", "commons")
+    out = out.withColumn("kept", ~F.col("base_failed") & ~far).drop("lang", "n_chars", "chars", "commons")
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def sql(rules: Rules = Rules()) -> str:
+    """The rows of `judge` over a table documents, as SQL."""
+
+    def js(p: str, q: str) -> str:
+        def term(x: str) -> str:
+            return f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+
+        return f"({term(p)} + {term(q)}) / 2"
+
+    names = ", ".join(f"'{w}'" for w in vocabulary())
+    langs = ", ".join(f"'{x}'" for x in COMMON_WORDS)
+    longest = max(len(w.encode()) for w in vocabulary()) + 2
+    classes = ", ".join(f"length(regexp_replace(t, '{c.replace("'", "''")}', '', 'g')) AS {k}" for k, c in CHAR_CLASSES.items())
+    n = len(CHAR_CLASSES) + 2
+    bins = " + ".join(js(f"(chars[{i}] / n_chars)", f"(sums[{i}] / list_sum(sums))") for i in range(1, n + 1))
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+ s AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+ k AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM s),
+ v AS (SELECT rid, i, w AS a, lead(w) OVER (PARTITION BY rid ORDER BY i) AS b, lead(w, 2) OVER (PARTITION BY rid ORDER BY i) AS c FROM k),
+ p AS (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM v WHERE c IS NOT NULL) x WHERE n > 1),
+ r AS (SELECT rid, count(DISTINCT j) AS n FROM p GROUP BY rid),
+ e AS (SELECT s.rid, doc_id, lang, length(t) AS n_chars, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, {classes}, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM s LEFT JOIN r ON s.rid = r.rid),
+ b AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed, [{", ".join(CHAR_CLASSES)}, n_chars - word_chars, word_chars - ({" + ".join(CHAR_CLASSES)})] AS chars FROM e),
+ c AS (SELECT rid, lower(rtrim(w, '.,;:!?')) AS word, count(*) AS n FROM k WHERE strlen(w) <= {longest} AND lower(rtrim(w, '.,;:!?')) IN ({names}) GROUP BY 1, 2),
+ g AS (SELECT lang, sum(n_words) AS total, [{", ".join(f"sum(chars[{i}])" for i in range(1, n + 1))}] AS sums FROM b WHERE lang IN ({langs}) AND NOT base_failed GROUP BY lang HAVING sum(n_words) >= {rules.min_reference_words}),
+ h AS (SELECT b.lang, word, sum(n) / max(total) AS q FROM c JOIN b ON c.rid = b.rid JOIN g ON b.lang = g.lang WHERE NOT base_failed GROUP BY b.lang, word),
+ a AS (SELECT lang, sum(q) AS every FROM h GROUP BY lang),
+ x AS (SELECT rid, min(sqrt(greatest(0, {bins}))) AS char_distance FROM b CROSS JOIN g WHERE n_chars >= {rules.guard_chars} GROUP BY rid),
+ m AS (SELECT c.rid, g.lang, n / n_words AS p, coalesce(q, 0) AS q FROM c JOIN b ON c.rid = b.rid CROSS JOIN g LEFT JOIN h ON h.lang = g.lang AND h.word = c.word),
+ o AS (SELECT rid, lang, sum(p) AS p, sum(q) AS q, sum({js("p", "q")}) AS met FROM m GROUP BY rid, lang),
+ y AS (SELECT b.rid, min(sqrt(greatest(0, coalesce(met, 0) + (coalesce(every, 0) - coalesce(o.q, 0)) / 2 + {js("(1 - coalesce(o.p, 0))", "(1 - coalesce(every, 0))")}))) AS word_distance
+   FROM b CROSS JOIN g LEFT JOIN a ON a.lang = g.lang LEFT JOIN o ON o.rid = b.rid AND o.lang = g.lang WHERE n_words >= {rules.guard_words} GROUP BY b.rid)
+ SELECT doc_id, n_words, word_chars, symbol AS n_symbols, n_dup_lines, n_repeat_words, base_failed, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance,
+ NOT base_failed AND NOT (coalesce(char_distance, 0) > {rules.max_char_distance} OR coalesce(word_distance, 0) > {rules.max_word_distance}) AS kept FROM b LEFT JOIN x ON b.rid = x.rid LEFT JOIN y ON b.rid = y.rid"""
