@@ -50,7 +50,7 @@ def splitters(rows: DataFrame, parts: int, plan: Plan) -> list[str]:
     want = parts * plan.sample_per_part
     step = max(1, total // max(1, want))
     keys = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(step)) == 0) if step > 1 else rows
-    found = [r[0] for r in keys.select(_sort_key(plan.prefix).alias("k")).orderBy(F.xxhash64("k"), "k").limit(4 * want).collect()]
+    found = sorted(r[0] for r in keys.select(_sort_key(plan.prefix).alias("k")).orderBy(F.xxhash64("k"), "k").limit(4 * want).collect())
     return sorted({found[i * len(found) // parts] for i in range(1, parts)}) if found else []
 
 

@@ -66,7 +66,7 @@ class Encoder:
     each ends where a symbol with the word end is.
     """
 
-    def __init__(self, tokenizer: str, most_words: int = 800_000, longest: int = 40):
+    def __init__(self, tokenizer: str, most_words: int = 500_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -181,10 +181,10 @@ class Scorer:
 
     def __init__(self, restorer: Restorer, odds: dict[str, float], weights: np.ndarray | None = None):
         self.restorer, self.odds, self.weights = restorer, odds, weights
-        self.found, self.spans, self.begun = None, None, None
+        self.found, self.spans, self.begun, self.heads = None, None, None, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"found": None, "spans": None, "begun": None}
+        return self.__dict__ | {"found": None, "spans": None, "begun": None, "heads": None}
 
     def may(self, span: str) -> bool:
         """Can a reading of the span hold a word with odds, or its beginning?"""
@@ -197,20 +197,28 @@ class Scorer:
             self.found.make_automaton()
         return bool(len(self.found)) and any(next(self.found.iter(s), None) for s in skeletons(span))
 
-    def odd(self, words: tuple[str, ...]) -> float:
-        if self.begun is None:  # odds of beginnings
+    def word(self, w: str) -> float:
+        if self.begun is None:  # odds of beginnings, and what the shortest of them begin with
             self.begun = {f[2:]: o for f, o in self.odds.items() if f[1:2] == ":" and f[0] in "456" and len(f) == 2 + int(f[0])}
-        whole, begun = self.odds, self.begun
-        return max((max(whole.get(w, 0.0), begun.get(w[:4], 0.0), begun.get(w[:5], 0.0), begun.get(w[:6], 0.0)) for w in words), default=0.0)
+            self.heads = {f[:4] for f in self.begun}
+        o = self.odds.get(w, 0.0)
+        return max(o, *[self.begun.get(w[:k], 0.0) for k in (4, 5, 6)]) if w[:4] in self.heads else o
+
+    def odd(self, words: tuple[str, ...]) -> float:
+        return max(map(self.word, words), default=0.0)
+
+    def of(self, span: str) -> float:
+        word = span.strip(_MARKS).lower()
+        return self.word(word) if word.isalpha() and not _REPEATED.search(word) else self.odd(self.restorer.span(span, self.may))
 
     def rows(self, texts: list[str]) -> np.ndarray:
         if self.spans is None:  # odds of spans
-            self.spans = Cache(lambda s: self.odd(self.restorer.span(s, self.may)), 200_000)
+            self.spans = Cache(self.of, 200_000)
         known, words = self.spans, self.odds.keys()
         out = np.zeros((len(texts), 4))
         for i, text in enumerate(texts):
             spans, spelled = self.restorer.text(text, self.may)
-            low = [s.lower() for s in spans] if not text.islower() else spans
+            low = text.lower().split()
             if words & set(map(operator.add, low, low[1:])):
                 spelled += [self.restorer.known(f"{a} {b}") for a, b in zip(low, low[1:]) if len(a) < 6 > len(b) and a + b in words]
             found = [*map(known.__getitem__, set(spans)), *map(self.odd, spelled)]
@@ -242,14 +250,14 @@ def train(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), label: str = "to
     sample = materialise(labelled_sample(docs, labels, label, 4, 2, how.most_rows).select("text", "y", half), "sample")
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         release()
         for s in text_slices(batches):
+            seen: Counter = Counter()
             for t, y, h in zip(s.column("text").to_pylist(), s.column("y").to_pylist(), s.column("half").to_pylist()):
                 spans, spelled = restorer.text(t or "")
                 words = {w for x in set(spans) for w in restorer.span(x)}.union(*spelled)
                 seen.update((f, y, h) for f in {f for w in words for f in features(w)})
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array([k[2] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["feature", "y", "half", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array([k[2] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["feature", "y", "half", "n"])
 
     n = {(r["y"], r["half"]): r["count"] for r in sample.groupBy("y", "half").count().collect()}
     nt, nc = (sum(n.get((y, h), 0) for h in (0, 1)) for y in (1, 0))
