@@ -116,7 +116,8 @@ def test_near_dedup_against_all_pairs(spark):
     for f in range(40):
         base = [f"f{f}w{i}" for i in r.permutation(int(r.integers(60, 300)))]
         texts += _family(r, base, int(r.integers(2, 12)), int(r.integers(0, 6)))
-    texts += _family(r, [f"hot{i}" for i in range(200)], 100, 2)
+    for edits in (1, 2):
+        texts += _family(r, [f"hot{edits}x{i}" for i in range(220)], 60, edits)
     texts += [f"short text {i}" for i in range(5)] * 2
     order = r.permutation(len(texts))
     texts = [texts[i] for i in order]
