@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.operators import books, dense, features, models, queues, research, scans, stateful
+from bookloom.operators import books, dense, features, frames, models, queues, research, scans, stateful
 from bookloom.sources import mbo as source
 
 OPERATORS = {o.name: o for o in (*scans.OPERATORS, *features.OPERATORS, *books.OPERATORS, *research.OPERATORS)}
@@ -67,8 +67,21 @@ def _learned() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _framed() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """What runs by blocks of time; the statement of the same name stays its oracle."""
+
+    def on(name: str, f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            mbo = source.read(spark, sf_dir)
+            return f(mbo, source.quotes(spark, mbo), **{**OPERATORS[name].defaults, **OPERATORS[name].scaled})
+
+        return run
+
+    return {name: on(name, f) for name, f in frames.OPERATORS.items()}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: o.query for name, o in OPERATORS.items()} | _stateful() | _learned()
+    return {name: o.query for name, o in OPERATORS.items()} | _framed() | _stateful() | _learned()
 
 
 def oracle_sql() -> dict[str, str]:
