@@ -87,28 +87,40 @@ def signature(path: np.ndarray, size: int = 20) -> np.ndarray:
     return np.pad(flat / norm if norm > 0 else flat, (0, size - len(flat)))
 
 
-def hawkes(times: np.ndarray, lo: float = 1e-3, hi: float = 10.0, rounds: int = 40) -> tuple[float, float, float]:
-    """mu, alpha, beta of an exponential Hawkes process: mu = n / 2T, branching one half by moments, beta by golden section on the likelihood."""
+def hawkes(times: np.ndarray, lo: float = 1e-3, hi: float = 10.0, rounds: int = 60, close: float = 1e-3) -> tuple[float, float, float]:
+    """mu, alpha, beta of an exponential Hawkes process.
+
+    mu = n / 2T; for each beta, alpha matches the expected number of events to n, alpha = beta (n - mu T) / sum(1 - exp(-beta (T - t))),
+    and stays under beta; beta by golden section on the likelihood, in which an event's own jump counts at its time.
+    """
     t = times - times[0]
     span, n = t[-1], len(t)
-    mu = n / (2 * span)
+    mu, steps = n / (2 * span), np.diff(t)
 
-    def loss(beta: float) -> float:
-        alpha = min(0.5, 0.999) * beta
-        decay, a = np.exp(-beta * np.diff(t)), 0.0
-        total = np.log(mu)
-        for d in decay:
-            a = d * (1 + a)
-            total += np.log(mu + alpha * a)
-        return -(total - mu * span - alpha / beta * np.sum(1 - np.exp(-beta * (span - t))))
+    def fitted(beta: float) -> tuple[float, float]:
+        reach = float(np.sum(1 - np.exp(-beta * (span - t))))
+        alpha = min(max(0.0, beta * (n - mu * span) / reach), 0.999 * beta) if reach > 1e-12 else 0.0
+        seen = [1.0]
+        for d in np.exp(-beta * steps).tolist():
+            seen.append(seen[-1] * d + 1.0)
+        return -(float(np.sum(np.log(mu + alpha * np.array(seen)))) - mu * span - alpha / beta * reach), alpha
 
     ratio = (np.sqrt(5) - 1) / 2
-    a, b = lo, hi
+    c, d = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
+    at_c, at_d = fitted(c)[0], fitted(d)[0]
     for _ in range(rounds):
-        c, d = b - ratio * (b - a), a + ratio * (b - a)
-        a, b = (a, d) if loss(c) < loss(d) else (c, b)
-    beta = (a + b) / 2
-    return mu, 0.5 * beta, beta
+        if at_c < at_d:
+            hi, d, at_d = d, c, at_c
+            c = hi - ratio * (hi - lo)
+            at_c = fitted(c)[0]
+        else:
+            lo, c, at_c = c, d, at_d
+            d = lo + ratio * (hi - lo)
+            at_d = fitted(d)[0]
+        if hi - lo < close:
+            break
+    beta = (lo + hi) / 2
+    return mu, fitted(beta)[1], beta
 
 
 def _of_session(quotes: DataFrame, least: int, schema: str, f: Callable[[pd.DataFrame], Iterator[tuple]]) -> DataFrame:

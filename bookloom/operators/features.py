@@ -23,7 +23,18 @@ _BARRIER = _M + """, ahead AS (SELECT *, ts_us - ts_us % {horizon} AS block FROM
  lab AS (SELECT h.*, CASE WHEN up_us IS NOT NULL AND (down_us IS NULL OR up_us < down_us) THEN 1 WHEN down_us IS NOT NULL THEN -1 WHEN deadline <= end_us THEN 0 END AS label FROM hit h JOIN ends e ON h.symbol = e.symbol)"""
 _SCORES = "WITH s AS (SELECT seq, CAST((seq * 7919) % 1000 AS DOUBLE) / 1000 AS p, CASE WHEN side = 'B' THEN 1 ELSE 0 END AS y, symbol, ts_us FROM {mbo})"
 
+# Buckets of equal volume; the form of `frames` runs, this one is its oracle.
+_VPIN = """WITH t AS (SELECT symbol, seq, ts_us, size, side FROM {mbo} WHERE action IN ('F', 'T')),
+ c AS (SELECT *, CAST(sum(size) OVER (PARTITION BY symbol ORDER BY ts_us, seq) AS BIGINT) AS en FROM t),
+ b AS (SELECT symbol, ts_us, side, en, en - size AS st, unnest(generate_series(CAST(floor((en - size) / {bucket}) AS BIGINT), CAST(ceil(en / {bucket}) AS BIGINT) - 1)) AS bucket FROM c),
+ p AS (SELECT symbol, bucket, ts_us, side, least(en, (bucket + 1) * {bucket}) - greatest(st, bucket * {bucket}) AS v FROM b),
+ g AS (SELECT symbol, bucket, max(ts_us) AS end_us, sum(CASE WHEN side = 'A' THEN v ELSE 0 END) AS buy, sum(v) AS total FROM p GROUP BY 1, 2 HAVING sum(v) >= {bucket}),
+ r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bucket) AS k FROM g),
+ m AS (SELECT a.symbol, a.bucket, a.end_us, count(*) AS n, avg(abs(2 * b.buy - b.total) / b.total) AS mean FROM r a JOIN r b ON a.symbol = b.symbol AND b.k BETWEEN a.k - {last} + 1 AND a.k GROUP BY 1, 2, 3)"""
+
 OPERATORS = [
+    Operator("fe02_vpin", _VPIN + " SELECT symbol, bucket, end_us, CASE WHEN n = {last} THEN round(mean, 9) END AS vpin FROM m", {"bucket": 500, "last": 50}, {"bucket": 150}),
+    Operator("l2_flow_toxicity", _VPIN + ", q AS (SELECT symbol, seq, ts_us FROM {quotes}), e AS (SELECT q.symbol, q.seq, max(bucket) AS bucket FROM q LEFT JOIN m ON q.symbol = m.symbol AND m.end_us <= q.ts_us GROUP BY 1, 2) SELECT e.symbol, e.seq, CASE WHEN n = {last} THEN round(mean, 9) END AS vpin FROM e LEFT JOIN m ON e.symbol = m.symbol AND e.bucket = m.bucket", {"bucket": 500, "last": 50}, {"bucket": 150}),
     Operator("l1_static", """SELECT symbol, seq, (ask - bid) / 0.25 AS spread_ticks, round((ask - bid) / mid * 10000.0, 6) AS spread_bps, bid_size, ask_size, (bid_size - ask_size) / (bid_size + ask_size) AS top_imbalance FROM {quotes} WHERE mid > 0"""),
     Operator("l1_velocities", f"""WITH f AS (SELECT *, first_value(bid) {_last('{w}')} AS b0, first_value(ask) {_last('{w}')} AS a0, first_value(ask - bid) {_last('{w}')} AS s0, min(ts_us) {_last('{w}')} AS t0 FROM {{quotes}})
  SELECT symbol, seq, CASE WHEN ts_us = t0 THEN 0.0 ELSE round(greatest(0.0, -(bid - b0) / ((ts_us - t0) / 1000000.0)), 9) END AS bid_retreat, CASE WHEN ts_us = t0 THEN 0.0 ELSE round(greatest(0.0, (ask - a0) / ((ts_us - t0) / 1000000.0)), 9) END AS ask_advance,

@@ -63,6 +63,48 @@ def first_from(rows: DataFrame, columns: list[str], lag_us: int, block_us: int)
     return met.select(*rows.columns, *[F.col("first")[c].alias(f"next_{c}") for c in columns])
 
 
+def last_until(rows: DataFrame, facts: DataFrame, columns: list[str], block_us: int) -> DataFrame:
+    """Adds the columns of the last fact (symbol, at_us, columns) of the symbol at the row's time or before."""
+    found, kept = F.struct("at_us", *columns), F.struct(*rows.columns)
+    data = facts.select("symbol", F.col("at_us").alias("t"), F.lit(0).alias("kind"), found.alias("found"), F.lit(None).cast(rows.select(kept.alias("r")).schema["r"].dataType).alias("row"))
+    asked = rows.select("symbol", F.col("ts_us").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(data.schema["found"].dataType).alias("found"), kept.alias("row"))
+    every = data.unionByName(asked).withColumn("block", _block("t", block_us))
+    inside = Window.partitionBy("symbol", "block").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    near = every.withColumn("near", F.last("found", True).over(inside)).where("kind = 1")
+    over = Window.partitionBy("symbol").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = every.groupBy("symbol", "block").agg(F.max("found").alias("end"))
+    carried = ends.select("symbol", "block", F.last("end", True).over(over).alias("carried"))
+    met = near.join(carried, ["symbol", "block"]).withColumn("last", F.coalesce("near", "carried"))
+    return met.select("row.*", *[F.col("last")[c].alias(c) for c in columns])
+
+
+def vpin_buckets(mbo: DataFrame, quotes: DataFrame, bucket: int, last: int, block_us: int = 86_400_000_000) -> DataFrame:
+    """Buckets of equal volume, trades split where they cross a border; vpin is the mean imbalance of the last buckets, null before there are as many.
+
+    A trade's place in the volume is the running sum of its block and what the blocks before hold; the windows over buckets
+    and blocks see a row for each of these, not for each trade.
+    """
+    t = mbo.where(F.col("action").isin("F", "T")).withColumn("block", _block("ts_us", block_us))
+    inside = Window.partitionBy("symbol", "block").orderBy("ts_us", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    over = Window.partitionBy("symbol").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = t.groupBy("symbol", "block").agg(F.sum("size").alias("v"))
+    before = sizes.select("symbol", "block", F.coalesce(F.sum("v").over(over), F.lit(0)).alias("before"))
+    placed = t.withColumn("end", F.sum("size").over(inside)).join(before, ["symbol", "block"]).select("symbol", "ts_us", "side", "size", (F.col("before") + F.col("end")).alias("end"))
+    b = F.lit(bucket)
+    parts = placed.withColumn("begin", F.col("end") - F.col("size")).where("size > 0").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("begin") / b), F.ceil(F.col("end") / b) - 1)))
+    part = F.least("end", (F.col("bucket") + 1) * b) - F.greatest("begin", F.col("bucket") * b)
+    full = parts.withColumn("v", part).groupBy("symbol", "bucket").agg(F.max("ts_us").alias("end_us"), F.sum(F.when(F.col("side") == "A", F.col("v")).otherwise(0)).alias("buy"), F.sum("v").alias("total")).where(F.col("total") >= bucket)
+    recent = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(1 - last, 0)
+    mean = F.avg(F.abs(2 * F.col("buy") - F.col("total")) / F.col("total")).over(recent)
+    return full.select("symbol", "bucket", "end_us", F.round(F.when(F.col("bucket") >= last - 1, mean), 9).alias("vpin"))
+
+
+def flow_toxicity(mbo: DataFrame, quotes: DataFrame, bucket: int, last: int) -> DataFrame:
+    """The vpin known at each quote: of the last bucket that was full by then, null before the first."""
+    full = vpin_buckets(mbo, quotes, bucket, last).groupBy("symbol", F.col("end_us").alias("at_us")).agg(F.max_by("vpin", "bucket").alias("vpin"))
+    return last_until(quotes.select("symbol", "seq", "ts_us"), full, ["vpin"], 86_400_000_000).select("symbol", "seq", "vpin")
+
+
 def trades(mbo: DataFrame, quotes: DataFrame) -> DataFrame:
     """Trades and fills with the quote of their event; signed is positive where the buyer takes."""
     t = mbo.where(F.col("action").isin("F", "T")).select("symbol", "seq", "ts_us", "price", "size", "side")
@@ -160,5 +202,5 @@ def activity_mask(mbo: DataFrame, quotes: DataFrame, after: int, before: int) ->
 OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "fe06_trade_ofi": trade_ofi, "fe07_realized_variance": realized_variance, "fe09_kyle_lambda": kyle_lambda, "fe10_tick_pin": tick_pin, "fe12_depth_response": depth_response,
     "l2_signed_flow": signed_flow, "jn08_asof_forward": asof_forward, "st16_outcome_tracker": outcome_tracker, "l1_tick_acceleration": tick_acceleration, "l1_refresh_rate": refresh_rate,
-    "st03_horizon_counts": horizon_counts, "st04_burst_rows": burst_rows, "nb13_lead_label": lead_label, "jn11_activity_mask": activity_mask,
+    "fe02_vpin": vpin_buckets, "l2_flow_toxicity": flow_toxicity, "st03_horizon_counts": horizon_counts, "st04_burst_rows": burst_rows, "nb13_lead_label": lead_label, "jn11_activity_mask": activity_mask,
 }

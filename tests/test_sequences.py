@@ -65,7 +65,29 @@ def test_dense_features():
     assert np.linalg.norm(s) == pytest.approx(1) and s[:5] / s[0] == pytest.approx([1, 1, 0.5, 0.5, 0.5])
     times = np.sort(rng.uniform(0, 100, 200))
     mu, alpha, beta = dense.hawkes(times)
-    assert mu == pytest.approx(200 / (2 * (times[-1] - times[0]))) and alpha == pytest.approx(beta / 2) and 1e-3 <= beta <= 10
+    assert mu == pytest.approx(200 / (2 * (times[-1] - times[0]))) and alpha == pytest.approx(_alpha(times - times[0], mu, beta)) and 1e-3 <= beta <= 10
+
+
+def _alpha(t, mu, beta):
+    reach = sum(1 - np.exp(-beta * (t[-1] - x)) for x in t)
+    return min(max(0.0, beta * (len(t) - mu * t[-1]) / reach), 0.999 * beta)
+
+
+def test_hawkes_against_a_grid():
+    """The likelihood by its formula, each intensity summed anew, over a grid of beta."""
+    r = np.random.default_rng(2)
+    times = np.sort(np.concatenate([x + r.exponential(2.0, 10).cumsum() for x in r.uniform(0, 900, 12)]))
+    t = times - times[0]
+    mu = len(t) / (2 * t[-1])
+
+    def loss(beta):
+        alpha = _alpha(t, mu, beta)
+        intensity = [mu + alpha * sum(np.exp(-beta * (x - y)) for y in t[: i + 1]) for i, x in enumerate(t)]
+        return -(sum(np.log(intensity)) - mu * t[-1] - alpha / beta * sum(1 - np.exp(-beta * (t[-1] - x)) for x in t))
+
+    found, alpha, beta = dense.hawkes(times)
+    assert found == pytest.approx(mu) and alpha == pytest.approx(_alpha(t, mu, beta)) and 0 < alpha / beta < 1
+    assert loss(beta) <= min(loss(x) for x in np.linspace(1e-3, 10, 25)) + 1e-2
 
 
 def test_ema_and_anchors_follow_a_loop(spark):
