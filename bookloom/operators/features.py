@@ -88,8 +88,9 @@ OPERATORS = [
     Operator("wn02_drawdown", f"""WITH t AS (SELECT symbol, seq, ts_us, CASE WHEN side = 'A' THEN size ELSE -size END AS pnl FROM {{mbo}} WHERE action = 'F'), e AS (SELECT *, CAST(sum(pnl) {_ROWS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS equity FROM t)
  SELECT symbol, seq, equity, greatest(max(equity) {_ROWS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) - equity AS drawdown FROM e"""),
     Operator("wn05_time_groups", "SELECT symbol, seq, CAST(ntile(5) OVER (PARTITION BY symbol ORDER BY ts_us, seq) AS BIGINT) AS fold FROM {mbo}"),
-    Operator("cv01_folds", """WITH g AS (SELECT symbol, seq, ntile(5) OVER (PARTITION BY symbol ORDER BY ts_us, seq) AS grp FROM {mbo}), k AS (SELECT DISTINCT grp FROM g), c AS (SELECT a.grp AS x, b.grp AS y FROM k a JOIN k b ON a.grp < b.grp)
- SELECT symbol, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, count(*) FILTER (WHERE grp IN (x, y)) AS test_rows, count(*) FILTER (WHERE grp NOT IN (x, y)) AS train_rows FROM g CROSS JOIN c GROUP BY symbol, x, y"""),
+    # Groups are counted first; the pairs are of a handful of groups, not of rows.
+    Operator("cv01_folds", """WITH g AS (SELECT symbol, seq, ntile(5) OVER (PARTITION BY symbol ORDER BY ts_us, seq) AS grp FROM {mbo}), n AS (SELECT symbol, grp, count(*) AS k FROM g GROUP BY symbol, grp), s AS (SELECT symbol, CAST(sum(k) AS BIGINT) AS every FROM n GROUP BY symbol)
+ SELECT a.symbol, CAST(a.grp AS BIGINT) AS x, CAST(b.grp AS BIGINT) AS y, a.k + b.k AS test_rows, every - a.k - b.k AS train_rows FROM n a JOIN n b ON a.symbol = b.symbol AND a.grp < b.grp JOIN s ON a.symbol = s.symbol"""),
     Operator("wn06_rank_quartiles", "SELECT symbol, seq, CAST(floor((row_number() OVER (PARTITION BY symbol ORDER BY price, seq) - 1) * 4 / count(*) OVER (PARTITION BY symbol)) AS BIGINT) AS quartile FROM {mbo}"),
     Operator("wn03_rolling_tier", _SCORES + f", q AS (SELECT symbol, seq, p, MEDIAN(p) {_ROWS} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS mid_p, count(*) {_ROWS} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS n FROM s) SELECT symbol, seq, CASE WHEN n < 100 THEN 'warm' WHEN p >= mid_p THEN 'high' ELSE 'low' END AS tier FROM q"),
     Operator("wn07_hit_streak", f"SELECT symbol, seq, avg(CASE WHEN side = 'A' THEN 1.0 ELSE -1.0 END) {_ROWS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS streak FROM {{mbo}} WHERE action = 'F'"),

@@ -78,4 +78,15 @@ OPERATORS = [
     Operator("sv02_session_recurrence", """WITH z AS (SELECT DISTINCT ts_us - ts_us % 86400000000 AS day_us, round(price / {bucket}) * {bucket} AS zone FROM {mbo} WHERE action = 'C' AND size >= 50)
  SELECT zone, count(*) AS days FROM z GROUP BY zone HAVING count(*) >= 2 ORDER BY days DESC, zone LIMIT 10""", {"bucket": 0.25}, {"bucket": 5.0}),
     Operator("sv03_nearest_seek", "SELECT symbol, min_by(seq, abs(ts_us - t)) AS seq, min(abs(ts_us - t)) AS away FROM {mbo} CROSS JOIN (SELECT min(ts_us) + {at} AS t FROM {mbo}) x GROUP BY symbol", {"at": 3_600_000_000}),
+    # Local hours by one offset from UTC, as day 0 of the epoch was a Thursday; Monday is 0.
+    Operator("flt05_rth_local", """WITH l AS (SELECT seq, symbol, ts_us, price, ts_us + {offset} AS local_us FROM {mbo}), d AS (SELECT *, local_us % 86400000000 AS day_us, CAST(((local_us - local_us % 86400000000) / 86400000000 + 3) % 7 AS BIGINT) AS weekday FROM l)
+ SELECT seq, symbol, ts_us, price, weekday FROM d WHERE weekday < 5 AND day_us >= 34200000000 AND day_us < 57600000000""", {"offset": -18_000_000_000}),
+    # The trades of each bucket of two timeframes in order: a row for each, so that a bucket has no bound.
+    Operator("agg04_tick_index", """WITH t AS (SELECT symbol, seq, ts_us, price FROM {mbo} WHERE action IN ('F', 'T')), b AS (SELECT *, {short} AS frame_us, ts_us - ts_us % {short} AS bucket_us FROM t UNION ALL SELECT *, {long} AS frame_us, ts_us - ts_us % {long} AS bucket_us FROM t)
+ SELECT symbol, frame_us, bucket_us, seq, price, CAST(row_number() OVER (PARTITION BY symbol, frame_us, bucket_us ORDER BY ts_us, seq) AS BIGINT) AS place FROM b""", {"short": 60_000_000, "long": 300_000_000}, {"short": 3_600_000_000, "long": 86_400_000_000}),
+    Operator("agg26_level_sessions", """WITH v AS (SELECT symbol, ts_us - ts_us % 86400000000 AS day_us, round(price / {bucket}) * {bucket} AS level, CAST(sum(size) AS BIGINT) AS volume FROM {mbo} GROUP BY 1, 2, 3), l AS (SELECT symbol, level, count(*) AS sessions, CAST(sum(volume) AS BIGINT) AS volume FROM v WHERE volume >= {least} GROUP BY 1, 2)
+ SELECT symbol, sessions, count(*) AS levels, CAST(sum(volume) AS BIGINT) AS volume FROM l GROUP BY symbol, sessions""", {"bucket": 0.25, "least": 100}, {"bucket": 5.0}),
+    Operator("tk06_top_matches", "SELECT symbol, call_us, seq, score, place FROM (SELECT symbol, ts_us - ts_us % {call} AS call_us, seq, size AS score, CAST(row_number() OVER (PARTITION BY symbol, ts_us - ts_us % {call} ORDER BY size DESC, seq) AS BIGINT) AS place FROM {mbo} WHERE size >= {least}) x WHERE place <= {most}", {"call": 60_000_000, "least": 50, "most": 20}, {"call": 86_400_000_000}),
+    Operator("src15_range_read", "SELECT symbol, seq, ts_us, bid, ask, mid FROM {quotes} WHERE ts_us >= (SELECT min(ts_us) FROM {mbo}) + {from} AND ts_us <= (SELECT min(ts_us) FROM {mbo}) + {to} ORDER BY ts_us, seq LIMIT {most}", {"from": 0, "to": 86_400_000_000, "most": 5000}),
+    Operator("set06_distinct", "SELECT DISTINCT symbol, action, side FROM {mbo}"),
 ]
