@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,7 @@ _ODD = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 
 @dataclass(frozen=True)
 class Near:
-    """Words of a shingle, similarity, share of texts above which a shingle counts as common, least idf, agreement, nodes of a part of a hot band, of a small band or shingle, of a block."""
+    """Words of a shingle, similarity, share of texts above which a shingle counts as common, least idf, agreement, nodes of a part of a hot band, of a small band or shingle, of a block, frequent prefix shingles up to which a node carries their list."""
 
     words: int = 5
     similarity: float = 0.8
@@ -52,6 +53,7 @@ class Near:
     part: int = 256
     small: int = 16
     block: int = 1000
+    listed: int = 256
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
@@ -244,11 +246,12 @@ def missed(hot: DataFrame, docs: DataFrame, weights: Weights, how: Near) -> Data
     meet = rare.join(other, "h").where("node < b and label <> label_b").select(F.col("node").alias("a"), "b")
 
     heavy = prefix.where("often")
+    lists = heavy.groupBy("node").agg(F.collect_list("h").alias("hs")).where(F.size("hs") <= how.listed)
     lightest = heavy.groupBy("set").agg(F.min_by("node", F.struct("total", "node")).alias("node")).select("node")
     salts = 8
 
     def blocks(rows: DataFrame, side: str) -> DataFrame:
-        """h and the nodes, labels, weights (all, of frequent shingles) and sketches of up to `block` of its rows."""
+        """h and the nodes, labels, weights (all, of frequent shingles), sketches and prefix lists (values, lengths) of up to `block` of its rows."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
@@ -259,22 +262,28 @@ def missed(hot: DataFrame, docs: DataFrame, weights: Weights, how: Near) -> Data
                         y = x.slice(at, min(how.block, end - at))
                         columns = [np.ascontiguousarray(y.column(c).to_numpy()) for c in ("node", "label", "total", "part")]
                         sketch = np.stack([y.column(c).to_numpy() for c in _SKETCH], 1)
-                        yield pa.RecordBatch.from_arrays([pa.array([h[begin]]), *[pa.array([z.tobytes()], pa.binary()) for z in (*columns, sketch)]], ["h", *[f"{side}{i}" for i in range(5)]])
+                        lists = [pc.list_flatten(y.column("hs")).to_numpy(zero_copy_only=False).astype(np.int64), pc.fill_null(pc.list_value_length(y.column("hs")), 0).to_numpy(zero_copy_only=False).astype(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array([h[begin]]), *[pa.array([z.tobytes()], pa.binary()) for z in (*columns, sketch, *lists)]], ["h", *[f"{side}{i}" for i in range(7)]])
 
-        dealt = rows.join(hot, "node").select("h", "label", "node", "total", "part", *_SKETCH).repartition("h", F.pmod(F.xxhash64("label", "node"), F.lit(salts))).sortWithinPartitions("h", "label", "node")
-        return materialise(dealt.mapInArrow(run, "h long, " + ", ".join(f"{side}{i} binary" for i in range(5))), "blocks")
+        dealt = rows.join(hot, "node").join(lists, "node", "left").select("h", "label", "node", "total", "part", *_SKETCH, "hs").repartition("h", F.pmod(F.xxhash64("label", "node"), F.lit(salts))).sortWithinPartitions("h", "label", "node")
+        return materialise(dealt.mapInArrow(run, "h long, " + ", ".join(f"{side}{i} binary" for i in range(7))), "blocks")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for row in x.to_pylist():
-                (a, la, wa, pa_, sa), (b, lb, wb, pb, sb) = ([np.frombuffer(row[f"{side}{i}"], np.float64 if i in (2, 3) else np.int64) for i in range(5)] for side in "xy")
+                (a, la, wa, pa_, sa, va, na), (b, lb, wb, pb, sb, vb, nb) = ([np.frombuffer(row[f"{side}{i}"], np.float64 if i in (2, 3) else np.int64) for i in range(7)] for side in "xy")
                 if la[0] == lb[0] and (la == la[0]).all() and (lb == lb[0]).all():
                     continue
                 sa, sb = sa.view(np.uint8).reshape(len(a), -1), sb.view(np.uint8).reshape(len(b), -1)
+                ends_a, ends_b = np.cumsum(na), np.cumsum(nb)
                 for i in range(len(a)):
                     # what two nodes share of frequent shingles is at most the lesser of what they have of them
                     fits = np.flatnonzero((lb != la[i]) & (np.minimum(pa_[i], pb) * (1 + how.similarity) >= (how.similarity - 1e-9) * (wa[i] + wb)))
                     fits = fits[(sb[fits] == sa[i]).sum(1) >= how.least_agree]
+                    # A pair that meets at several shingles is passed on at the least of them; nodes with very many carry no list.
+                    if len(fits) and na[i]:
+                        own = frozenset(va[ends_a[i] - na[i] : ends_a[i]].tolist())
+                        fits = fits[[not nb[j] or min(own.intersection(vb[ends_b[j] - nb[j] : ends_b[j]].tolist())) == row["h"] for j in fits]]
                     if len(fits):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[fits])), pa.array(np.maximum(a[i], b[fits]))], ["a", "b"])
 
