@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.operators import books, dense, features, frames, models, queues, research, scans, stateful
+from bookloom.operators import books, dense, features, frames, matches, models, queues, research, scans, stateful
 from bookloom.sources import mbo as source
 
 OPERATORS = {o.name: o for o in (*scans.OPERATORS, *features.OPERATORS, *books.OPERATORS, *research.OPERATORS)}
@@ -80,9 +80,33 @@ def _framed() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: on(name, f) for name, f in frames.OPERATORS.items()}
 
 
+_CASCADES = ["action AS cascade_type", "size / 101D AS confidence", "ts_us AS anchor_us", "ts_us + seq % 1000 * 700 AS end_us"]
+#: A pattern for each symbol and action: without instruments for trades, no outcomes by regime for cancels.
+_PATTERNS = """SELECT symbol || '-' || action AS pattern_id, CASE WHEN action = 'T' THEN array() ELSE array(symbol) END AS instruments, action IN ('A', 'C', 'F') AS regime_specific,
+ CASE WHEN action = 'C' THEN map('5m', count(*)) ELSE map('LOW_5m', count_if(size < 34), 'HIGH_5m', count_if(size >= 67)) END AS outcomes FROM {mbo} GROUP BY symbol, action"""
+_MATCH_SQL = {
+    "nb15_cascade_stats": f"WITH mbo AS ({source.DUCKDB['mbo']}) SELECT action AS cascade_type, count(*) AS n, round(avg(size / 101e0), 3) AS mean_confidence, round(avg(seq % 1000 * 7e-1), 1) AS mean_duration_ms FROM mbo GROUP BY 1",
+    "flt11_applicable": f"WITH mbo AS ({source.DUCKDB['mbo']}) SELECT symbol || '-' || action AS pattern_id, CASE action WHEN 'T' THEN true WHEN 'M' THEN symbol = 'ES' WHEN 'C' THEN symbol = 'ES' ELSE symbol = 'ES' AND count(*) FILTER (WHERE size >= 67) >= 140 END AS selected FROM mbo GROUP BY symbol, action",
+}
+
+
+def _matched() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Stand-ins for the caller's tables of patterns, cascades and matches; tests hold the pairs against a loop."""
+
+    def sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+        rows = source.read(spark, sf_dir)
+        return [rows.where(rows["action"] == a).selectExpr("symbol || side AS pattern_id", "seq AS match_id", "ts_us AS end_us") for a in "FT"]
+
+    return {
+        "nb15_cascade_stats": lambda s, d: matches.cascade_stats(source.read(s, d).selectExpr(*_CASCADES)),
+        "flt11_applicable": lambda s, d: matches.applicable(s.sql(_PATTERNS, mbo=source.read(s, d)), "ES", "high", 140),
+        "jn09_pairs": lambda s, d: matches.pair_matches(*sides(s, d), window_us=60 * MIN),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: o.query for name, o in OPERATORS.items()} | _framed() | _stateful() | _learned()
+    return {name: o.query for name, o in OPERATORS.items()} | _framed() | _stateful() | _learned() | _matched()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: o.oracle() for name, o in OPERATORS.items()} | {"tk09_exemplars": models.EXEMPLARS_SQL, "pt05_template_match": models.MATCH_SQL}
+    return {name: o.oracle() for name, o in OPERATORS.items()} | {"tk09_exemplars": models.EXEMPLARS_SQL, "pt05_template_match": models.MATCH_SQL} | _MATCH_SQL
