@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.operators import books, dense, features, frames, matches, models, queues, research, scans, stateful
+from bookloom.operators import adapter, books, dense, features, frames, matches, models, queues, research, scans, stateful
 from bookloom.sources import mbo as source
 
 OPERATORS = {o.name: o for o in (*scans.OPERATORS, *features.OPERATORS, *books.OPERATORS, *research.OPERATORS)}
@@ -80,6 +80,29 @@ def _framed() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: on(name, f) for name, f in frames.OPERATORS.items()}
 
 
+_SNAPS = f"SELECT symbol, ts_us - ts_us % {600 * MIN} AS snap, max(CASE WHEN side = 'B' THEN price END) AS bid, min(CASE WHEN side = 'A' THEN price END) AS ask FROM {{mbo}} WHERE action = 'A' GROUP BY 1, 2"
+_ADAPTED = f"WITH mbo AS ({source.DUCKDB['mbo']}), s AS ({_SNAPS.replace('{mbo}', 'mbo')}), p AS (SELECT symbol, snap, coalesce(bid, 0) AS bid, coalesce(ask, 0) AS ask FROM s), l AS (SELECT *, lag(bid, 1, bid) OVER w AS bid0, lag(ask, 1, ask) OVER w AS ask0 FROM p WINDOW w AS (PARTITION BY symbol ORDER BY snap)), e AS (SELECT * FROM mbo QUALIFY row_number() OVER (PARTITION BY symbol, order_id, ts_us, CASE WHEN action IN ('F', 'T') THEN 'T' ELSE action END ORDER BY seq) = 1) SELECT e.symbol, e.seq, e.ts_us, "
+_MATCHED_ON = f" FROM e JOIN l ON e.symbol = l.symbol AND e.ts_us - e.ts_us % {600 * MIN} = l.snap WHERE "
+_ADAPTER_SQL = {
+    "l1ad_passive_adds": _ADAPTED + "e.side" + _MATCHED_ON + "action = 'A' AND (side = 'B' AND abs(price - greatest(bid, bid0)) < 125e-3 OR side = 'A' AND abs(price - least(ask, ask0)) < 125e-3)",
+    "l1ad_trade_sides": _ADAPTED + "CASE WHEN bid = 0 OR ask = 0 THEN CASE WHEN price > 0 OR side = 'A' AND price = 0 THEN 'ask' ELSE 'bid' END WHEN 2 * price > bid + ask THEN 'ask' WHEN 2 * price < bid + ask OR side = 'B' THEN 'bid' ELSE 'ask' END AS side, e.size" + _MATCHED_ON + "action IN ('F', 'T')",
+}
+
+
+def _adapted() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Stand-in snapshots: the best prices added in a step of time, which also show all events of the step."""
+
+    def on(f: Callable[..., DataFrame], where: str, **params) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            mbo = source.read(spark, sf_dir)
+            rows = mbo.where(where).selectExpr("*", f"ts_us - ts_us % {600 * MIN} AS snap", "false AS aggressive")
+            return f(spark.sql(_SNAPS, mbo=mbo), rows, **params)
+
+        return run
+
+    return {"l1ad_passive_adds": on(adapter.passive_adds, "action = 'A'", block=60_000 * MIN), "l1ad_trade_sides": on(adapter.trade_sides, "action IN ('F', 'T')")}
+
+
 _CASCADES = ["action AS cascade_type", "size / 101D AS confidence", "ts_us AS anchor_us", "ts_us + seq % 1000 * 700 AS end_us"]
 #: A pattern for each symbol and action: without instruments for trades, no outcomes by regime for cancels.
 _PATTERNS = """SELECT symbol || '-' || action AS pattern_id, CASE WHEN action = 'T' THEN array() ELSE array(symbol) END AS instruments, action IN ('A', 'C', 'F') AS regime_specific,
@@ -105,8 +128,8 @@ def _matched() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: o.query for name, o in OPERATORS.items()} | _framed() | _stateful() | _learned() | _matched()
+    return {name: o.query for name, o in OPERATORS.items()} | _framed() | _stateful() | _learned() | _matched() | _adapted()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: o.oracle() for name, o in OPERATORS.items()} | {"tk09_exemplars": models.EXEMPLARS_SQL, "pt05_template_match": models.MATCH_SQL} | _MATCH_SQL
+    return {name: o.oracle() for name, o in OPERATORS.items()} | {"tk09_exemplars": models.EXEMPLARS_SQL, "pt05_template_match": models.MATCH_SQL} | _MATCH_SQL | _ADAPTER_SQL
