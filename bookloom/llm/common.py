@@ -61,6 +61,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: idle Python workers stay for a minute beside those of the next stage."""
+    _powers.clear()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

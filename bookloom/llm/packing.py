@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from bookloom.llm.common import mix, scratch_path, sum_vectors, text_slices
-from bookloom.llm.vocab import locate, once
+from bookloom.llm.vocab import locate, once, release
 
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 _MARKS = r"[!-&(-/:-@\[-`{-~]"  # all of ASCII but the apostrophe, which can begin a piece of its own
@@ -66,7 +66,7 @@ class Encoder:
     each ends where a symbol with the word end is.
     """
 
-    def __init__(self, tokenizer: str, most_words: int = 500_000, longest: int = 40):
+    def __init__(self, tokenizer: str, most_words: int = 300_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,8 +84,8 @@ class Encoder:
 
     def _learn(self, words: list[str], step: int = 256) -> None:
         groups = [words[i : i + step] for i in range(0, len(words), step)]
-        for group, got in zip(groups, self.encode([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(got.ids, np.uint16)
+        for group in groups:
+            ids = np.array(self.encode([" ".join(group)], add_special_tokens=False)[0].ids, np.uint16)
             to = ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist()
             raw = ids.tobytes()
             self.words.update(zip(group, [raw[i:j] for i, j in zip([0, *to], to)] if len(to) == len(group) else self._each(group)))
@@ -147,7 +147,7 @@ def encode(docs: DataFrame, tokenizer: str, how: Packing) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once(("encoder", tokenizer), lambda: Encoder(tokenizer))
         seen = np.zeros(1 << 16, np.int64)
-        for s in text_slices(batches, limit=2 << 20):
+        for s in text_slices(batches):
             got = [i + end for i in encoder.texts([t or "" for t in s.column("text").to_pylist()])]
             arrays = [np.frombuffer(i, "<u2") for i in got]
             if arrays:
@@ -162,6 +162,7 @@ def routed(kept: DataFrame, seen: np.ndarray, idf: np.ndarray) -> DataFrame:
     """kept (doc_id, ids) with the routes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for s in text_slices(batches, "ids"):
             arrays = [np.frombuffer(i.as_buffer(), "<u2") for i in s.column("ids")]
             yield pa.RecordBatch.from_arrays([*s.columns, pa.array(routes(arrays, seen, idf))], [*s.schema.names, "route"])
@@ -273,6 +274,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", how: Packing = P
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sequence = TaskContext.get().partitionId() << 32
         names, arrays, size = [], [], 0
 
