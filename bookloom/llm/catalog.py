@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import bpe_codec, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters, warc
+from bookloom.llm import bpe_codec, exact_dedup, language_id, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, token_alignment, token_counts, toxicity, url_filters, warc
 from bookloom.llm.common import modest_batches, scratch_path
 
 
@@ -64,16 +64,29 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(_table(spark, sf_dir, "documents"), real=False)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_near_dedup, op4_exact_dedup, op5_quality_classifier, op6_packing, op7_toxicity, op9_warc, op8_token_counts, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_near_dedup, op4_exact_dedup, op5_quality_classifier, op6_packing, op7_toxicity, op9_warc, op8_token_counts, op10_bpe_codec, op11_language_id, op12_prefix_trie, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Quality rules, exact dedup and archives; the other rows depend on trained models, tokenizers or searches."""
+    """Quality rules, exact dedup, archives and the trie; the other rows depend on trained models, tokenizers or searches."""
     return {
         "op1_quality_rules": quality_rules.sql(),
         "op4_exact_dedup": r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
  SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM n WINDOW w AS (PARTITION BY t)""",
         "op9_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
  SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM d""",
+        "op12_prefix_trie": prefix_trie.SQL,
     }
