@@ -1,12 +1,12 @@
 """Cross-tokenizer alignment: the tokens of two tokenizers over the same bytes, and which of their ids go together.
 
 Every byte of space + text gets a label: none, end of an A token, end of a B token, or both.  A regular expression cuts
-the labels into spans up to each `both`; a span is a group, and its labels tell how many tokens of A and B it holds, and
-which of these overlap.
+the labels into spans up to each `both`; a span is a group, and its labels tell how many tokens of A and B it holds.
+Two tokens overlap where one of them ends, so each label is a link.
 
-A text is cut before each blank or newline that follows neither white space nor a character which B's vocabulary joins
-to it: neither tokenizer has a token over such a place, so pieces are tokenized and aligned on their own, by the
-libraries, and a worker keeps what it has found for short ones.  A vocabulary that allows no such cut takes texts whole.
+A text is cut before each blank or newline that follows something else than white space: neither tokenizer has a token
+over such a place, so pieces are tokenized on their own, by the libraries, and a worker keeps the ids of short ones.  A
+vocabulary that allows no such cut takes texts whole.
 
 Pass one writes, for each document, its figures and the linked id pairs with their numbers.  The documents of each pair
 are counted by buckets of A ids (a task merges sorted arrays; a bucket has at most BUCKET x ids of B entries).  Of
@@ -31,13 +31,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bookloom.llm.common import materialise, text_slices
-from bookloom.llm.vocab import byte_symbols, locate, once
+from bookloom.llm.vocab import Cache, byte_symbols, locate, once
 
 BUCKET = 256
 _LEVELS = 512
 _SPANS = re.compile(rb"[^\x03]*\x03")
 
 
+def _span_sizes(span: bytes) -> int:
+    """How many tokens of A and of B end in a span, in the upper and the lower 32 bits."""
+    both = span.count(3)
+    return (span.count(1) + both) << 32 | span.count(2) + both
+
+
 class ByteLevel:
     """A byte-level tokenizer: special strings in a text are plain text."""
 
@@ -52,8 +58,8 @@ class ByteLevel:
         for token, i in self.inner.get_vocab().items():
             self.bytes[i] = bytes(raw[c] for c in token) if all(c in raw for c in token) else token.encode()
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.inner.encode_batch(pieces, add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        return self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 class Pieces:
@@ -71,66 +77,120 @@ class Pieces:
         self.joined = {c for i, p in enumerate(names) if not self.inner.is_byte(i) for c in re.findall(r"(?<=[^▁])\s|(?<=[^▁])▁", p)}
         self.joined |= {"\n"} if any(p.startswith("▁\n") for p in names) else set()
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        """Of pieces of a longer text that begin with a space or a newline."""
-        found = self.inner.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
-        # A space alone is what an empty text would be; a newline gets a space of its own in front, which is taken off.
-        return [[self.space] if p == " " else ids if p[0] == " " else ids[1:] for p, ids in zip(pieces, found)]
+    def encode(self, text: str) -> list[int]:
+        """Of a text that begins with a space or a newline."""
+        if text[0] != " ":
+            return self.inner.encode(text)[1:]  # without the space that it sets in front
+        return self.inner.encode(text[1:]) if len(text) > 1 else [self.space]  # an empty text would get no space
 
 
 class Aligner:
-    def __init__(self, a: str, b: str, most: int = 150_000, longest: int = 64):
+    """Ids of pieces are kept in two generations, so that frequent pieces stay when the rest is forgotten."""
+
+    def __init__(self, a: str, b: str, most: int = 200_000, longest: int = 64):
         self.a, self.b, self.most, self.longest = ByteLevel(a), Pieces(b), most, longest
         free = not {"▁", "\n"} & self.b.joined
         #: A run of white space and what follows; other white space than blanks and newlines belongs to what it follows.
         self.cut = re.compile(r"\s+\S*(?:[^\S \n]\s*\S*)*") if free else re.compile(r".+", re.S)
         self.wide = np.uint32 if self.a.size * self.b.size < 1 << 32 else np.uint64
-        self.known: dict[str, tuple | None] = {}
-
-    def align(self, piece: str, a: list[int], b: list[int]) -> tuple[int, int, int, str, bytes] | None:
-        """Tokens of A and of B, groups, the groups written out, and a key for each link; None if the bytes differ."""
-        raw = piece.encode()
-        of_a, of_b = [self.a.bytes[i] for i in a], [self.b.bytes[i] for i in b]
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return None
-        labels = bytearray(len(raw))
-        for mark, tokens in ((1, of_a), (2, of_b)):
-            at = -1
-            for t in tokens:
-                at += len(t)
-                labels[at] |= mark
-        groups, links, i, j = [], [], 0, 0
-        for span in _SPANS.findall(labels):
-            ends = span.translate(None, b"\x00")
-            i0, j0 = i, j
-            for mark in ends:
-                links.append(a[i] * self.b.size + b[j])
-                i += mark & 1
-                j += mark >> 1
-            groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-        return len(a), len(b), len(groups), ";".join(groups), np.array(links, self.wide).tobytes()
-
-    def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
-        """n_a, n_b, n_groups, n_links, groups, link keys in order, their numbers."""
-        known, none = self.known, np.zeros(0, self.wide)
-        if len(known) > self.most:
-            known.clear()
+        self.lengths = [np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
+        #: An id written out, with what stands after it: `,` inside a group, `|` after the last of A, `;` after that of B.
+        self.written = [f"{i}{end}".encode() for size, last in ((self.a.size, "|"), (self.b.size, ";")) for i in range(size) for end in (",", last)]
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
+        self.spans = Cache(_span_sizes, 100_000)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces, or None where the tokens do not spell the piece; a hundred kB of them are encoded at once."""
+        alone = [p for p in pieces if p.isspace()]  # would join what follows
+        batches, held = [[p] for p in alone], 0
+        for p in pieces:
+            if not p.isspace():
+                if not held:
+                    batches.append([])
+                batches[-1].append(p)
+                held += len(p)
+                held = 0 if held > 100_000 else held
+        for own in batches:
+            text = "".join(own)
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, own)), np.int64, len(own)))
+            parts = []
+            for t, lengths in ((self.a, self.lengths[0]), (self.b, self.lengths[1])):
+                ids = t.encode(text)
+                if b"".join(map(t.bytes.__getitem__, ids)) != text.encode():
+                    break
+                ids = np.array(ids, np.uint32)
+                at = (4 * np.searchsorted(np.cumsum(lengths[ids]), ends, side="right")).tolist()
+                raw = ids.tobytes()
+                parts.append([raw[i:j] for i, j in zip([0, *at[:-1]], at)])
+            if len(parts) == 2:
+                self.known.update(zip(own, zip(*parts)))
+            elif len(own) == 1:
+                self.known[own[0]] = None
+            else:
+                for p in own:
+                    self.learn([p])
+
+    def ids(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of A and of B of every text; None: no tokens."""
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         cut = [self.cut.findall(" " + t) if t else [] for t in texts]
-        new = list({p for own in cut for p in own if p not in known})
-        for p, a, b in zip(new, self.a.encode(new), self.b.encode(new)):
-            known[p] = self.align(p, a, b)
+        new = {p for own in cut for p in own} - known.keys()
+        known.update((p, older[p]) for p in new & older.keys())
+        self.learn(list(new - older.keys()))
+        out = []
         for own in cut:
-            found = [known[p] for p in own]
-            if not found or None in found:
-                yield 0, 0, 0, 0, "", none, none.astype(np.uint32)
-                continue
-            a, b, groups, written, links = zip(*found)
-            every = np.frombuffer(b"".join(links), self.wide)
-            keys, n = np.unique(every, return_counts=True)
-            yield sum(a), sum(b), sum(groups), len(every), ";".join(written), keys, n.astype(np.uint32)
+            found = list(map(known.__getitem__, own))
+            out.append(tuple(map(b"".join, zip(*found))) if found and None not in found else None)
         for p in new:
             if len(p) > self.longest:
                 del known[p]
+        return out
+
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, bytes, np.ndarray, np.ndarray]]:
+        """n_a, n_b, n_groups, n_links, groups written out, link keys in order, their numbers."""
+        found = self.ids(texts)
+        full = [x for x in found if x]
+        none = 0, 0, 0, 0, b"", np.zeros(0, self.wide), np.zeros(0, np.uint32)
+        if not full:
+            yield from [none] * len(texts)
+            return
+        a, b = (np.frombuffer(b"".join(x), np.uint32).astype(np.int64) for x in zip(*full))
+        ends = [np.cumsum(lengths[ids]) for lengths, ids in zip(self.lengths, (a, b))]
+        # The label of each byte: none, end of A, end of B, both.
+        labels = np.zeros(ends[0][-1], np.uint8)
+        labels[ends[0] - 1] = 1
+        labels[ends[1] - 1] += 2
+        spans = _SPANS.findall(labels.tobytes().translate(None, b"\x00"))
+        sizes = np.fromiter(map(self.spans.__getitem__, spans), np.int64, len(spans))
+        of_a, of_b = sizes >> 32, sizes & 0xFFFFFFFF
+        # A link for each label: the two tokens that lie over its last byte.
+        marks = labels[labels > 0]
+        i, j = np.cumsum(marks & 1) - (marks & 1), np.cumsum(marks >> 1) - (marks >> 1)
+        links = (a[i] * self.b.size + b[j]).astype(self.wide)
+        # Groups written out: the tokens of A of a group, then those of B.
+        sums_a, sums_b = np.cumsum(of_a), np.cumsum(of_b)
+        codes = np.empty(len(a) + len(b), np.int64)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[sums_a - 1] = last_b[sums_b - 1] = 1
+        codes[np.arange(len(a)) + np.repeat(sums_b - of_b, of_a)] = 2 * a + last_a
+        codes[np.arange(len(b)) + np.repeat(sums_a, of_b)] = 2 * (self.a.size + b) + last_b
+        written = list(map(self.written.__getitem__, codes.tolist()))
+        n = np.array([[len(x) // 4 for x in own] for own in full])
+        to_a, to_b = np.cumsum(n, axis=0).T
+        groups = np.searchsorted(sums_a, to_a) + 1
+        ends_of = np.searchsorted(np.flatnonzero(labels), ends[0][to_a - 1] - 1) + 1  # links up to a text's last byte
+        at, k = (0, 0, 0, 0), 0
+        for own in found:
+            if own is None:
+                yield none
+                continue
+            to = int(to_a[k]), int(to_b[k]), int(groups[k]), int(ends_of[k])
+            keys, times = np.unique(links[at[3] : to[3]], return_counts=True)
+            yield *(y - x for x, y in zip(at, to)), b"".join(written[at[0] + at[1] : to[0] + to[1]])[:-1], keys, times.astype(np.uint32)
+            at, k = to, k + 1
 
 
 def align(docs: DataFrame, a: str, b: str, real: bool = True) -> DataFrame:
@@ -146,9 +206,9 @@ def align(docs: DataFrame, a: str, b: str, real: bool = True) -> DataFrame:
         for s in text_slices(batches):
             got = list(aligner.texts(s.column("text").to_pylist()))
             columns = [s.column("row"), s.column("doc_id"), *[pa.array([x[i] for x in got], pa.int64()) for i in range(4)]]
-            columns.append(pa.array([hashlib.sha256(x[4].encode()).hexdigest() if x[0] else "" for x in got]))
+            columns.append(pa.array([hashlib.sha256(x[4]).hexdigest() if x[0] else "" for x in got]))
             columns += [pa.array([x[i].tobytes() for x in got], pa.binary()) for i in (5, 6)]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array([x[4] for x in got])] * real], schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array([x[4].decode() for x in got])] * real], schema.names)
 
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
 
