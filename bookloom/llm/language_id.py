@@ -23,6 +23,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -110,41 +111,43 @@ class Model:
         self.table = np.array([v for _, v in entries], np.float32).reshape(len(entries), len(languages))
 
 
-class Scorer:
-    """A model with the values of unseen words met so far; one for each Python worker."""
+class Scorer(dict):
+    """The row of each word in a table that begins with the model's and grows by the values of unseen words; one for each Python worker."""
 
-    def __init__(self, model: Model, room: int = 200_000):
-        self.model, self.room, self.ids = model, room, dict(model.rows)
+    def __init__(self, model: Model, room: int = 500_000):
+        super().__init__(model.rows)
+        self.model, self.room = model, room
         self.table = np.concatenate([model.table, np.zeros((1024, len(model.languages)), np.float32)])
         self.used = len(model.table)
 
     def unseen(self, word: str) -> np.ndarray | None:
         """The mean of its known n-grams of the longest order that has one; None: no letter of it is known."""
+        get = self.model.gram_rows.get
         for order in range(self.model.orders, 0, -1):
-            found = [r for g in grams(word, order) if (r := self.model.gram_rows.get(g)) is not None]
+            found = [r for g in grams(word, order) if (r := get(g)) is not None]
             if found:
-                return self.model.table[found].mean(0)
+                return np.add.reduce(self.model.table[found]) / np.float32(len(found))
         return None
 
-    def row(self, word: str) -> int:
-        at = self.ids.get(word)
-        if at is None:
-            value = self.unseen(word)
-            if self.used == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self.used] = 0 if value is None else value
-            at = self.ids[word] = self.used
-            self.used += 1
-        return at
+    def __missing__(self, word: str) -> int:
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        value = self.unseen(word)
+        self.table[self.used] = 0 if value is None else value
+        self[word] = self.used
+        self.used += 1
+        return self.used - 1
 
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The summed values of every text by language, and its number of words."""
         if self.used - len(self.model.table) > self.room:
-            self.ids, self.used = dict(self.model.rows), len(self.model.table)
+            self.clear()
+            self.update(self.model.rows)
+            self.used = len(self.model.table)
         found = [words(t) for t in texts]
-        sizes = np.array([len(w) for w in found], np.int64)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
         out = np.zeros((len(texts), len(self.model.languages)))
-        at = np.fromiter((self.row(w) for own in found for w in own), np.int64, int(sizes.sum()))
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
         full = np.flatnonzero(sizes)
         if len(full):
             starts = np.cumsum(sizes) - sizes
