@@ -1,6 +1,7 @@
 """Book snapshots and what is read from them: level profiles, order-flow imbalance, spoofing, pressure, signals, sweeps.
 
-A snapshot holds the volume added per (symbol, time step, side, price).  Every statement groups or windows by symbol
+A snapshot holds the volume added per (symbol, time step, side, price); level profiles and order-flow imbalance read the
+book itself (``book``): what rests at each time.  Every statement groups or windows by symbol
 and snapshot; self joins meet by equal snapshots, so a pair list is as long as a snapshot is, not as the table.
 """
 
@@ -12,6 +13,9 @@ _LV = "lv AS (SELECT symbol, ts_us - ts_us % {step} AS snap, side, price, CAST(s
 _TOT = """tot AS (SELECT symbol, snap, CAST(coalesce(sum(v) FILTER (WHERE side = 'B'), 0) AS BIGINT) AS tb, CAST(coalesce(sum(v) FILTER (WHERE side = 'A'), 0) AS BIGINT) AS ta,
  max(price) FILTER (WHERE side = 'B') AS bb, min(price) FILTER (WHERE side = 'A') AS ba FROM lv GROUP BY 1, 2)"""
 _BOOK = f"WITH {_LV}, {_TOT}"
+#: Levels of the real book, in the place of added volume.
+_RESTING = "lv AS (SELECT symbol, snap, side, price, volume AS v, n_orders AS n FROM {book})"
+_REAL = f"WITH {_RESTING}, {_TOT}"
 _S, _SS = {"step": 100 * MS}, {"step": 2 * DAY}
 _FIRST = "CASE WHEN side = 'B' THEN -price ELSE price END"  # best first
 
@@ -49,16 +53,16 @@ _PRESS = """ev AS (SELECT m.symbol, m.ts_us - m.ts_us % {step} AS snap, m.ts_us,
 _R, _RS = {"step": 100 * MS, "half": 500 * MS, "tol": 0.0}, {"step": DAY, "half": 500 * MIN, "tol": 0.25}
 
 OPERATORS = [
-    Operator("l2_book", _BOOK + """ SELECT t.symbol, t.snap, (tb - ta) / (tb + ta + 0.000000001) AS imbalance, CASE WHEN ta > 0 THEN tb / (ta + 0.000000001) WHEN tb > 0 THEN 1000000.0 ELSE 1.0 END AS depth_ratio, round(sum(price * v) / (tb + ta), 9) AS weighted_mid,
+    Operator("l2_book", _REAL + """ SELECT t.symbol, t.snap, (tb - ta) / (tb + ta + 0.000000001) AS imbalance, CASE WHEN ta > 0 THEN tb / (ta + 0.000000001) WHEN tb > 0 THEN 1000000.0 ELSE 1.0 END AS depth_ratio, round(sum(price * v) / (tb + ta), 9) AS weighted_mid,
  round((ba - bb) / ((ba + bb) / 2) * 10000.0, 6) AS spread_bps, CAST(coalesce(sum(v) FILTER (WHERE abs(price - (ba + bb) / 2) <= 0.005 * (ba + bb) / 2), 0) AS BIGINT) AS near_depth FROM tot t JOIN lv l ON t.symbol = l.symbol AND t.snap = l.snap GROUP BY t.symbol, t.snap, tb, ta, bb, ba""", _S, _SS),
-    Operator("l2_level_persistence", f"""WITH {_LV}, d AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY snap) AS k FROM lv)
+    Operator("l2_level_persistence", f"""WITH {_RESTING}, d AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY snap) AS k FROM lv)
  SELECT a.symbol, a.snap, CASE WHEN a.k = 1 THEN 1.0 ELSE count(b.price) / count(*) END AS persistence FROM d a LEFT JOIN d b ON a.symbol = b.symbol AND a.side = b.side AND a.price = b.price AND a.v = b.v AND b.k = a.k - 1 GROUP BY a.symbol, a.snap, a.k""", _S, _SS),
-    Operator("l2_shape_norm", f"WITH {_LV}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol, snap, side ORDER BY {_FIRST}) AS place FROM lv) SELECT symbol, snap, round(sqrt(sum(v * v)), 6) AS norm FROM r WHERE place <= 20 GROUP BY symbol, snap", _S, _SS),
-    Operator("l2_imbalance_velocity", _BOOK + """, i AS (SELECT symbol, snap, (tb - ta) / (tb + ta) AS x FROM tot), p AS (SELECT *, last_value(x) OVER (PARTITION BY symbol ORDER BY snap RANGE BETWEEN UNBOUNDED PRECEDING AND {w} PRECEDING) AS was FROM i)
+    Operator("l2_shape_norm", f"WITH {_RESTING}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol, snap, side ORDER BY {_FIRST}) AS place FROM lv) SELECT symbol, snap, round(sqrt(sum(v * v)), 6) AS norm FROM r WHERE place <= 20 GROUP BY symbol, snap", _S, _SS),
+    Operator("l2_imbalance_velocity", _REAL + """, i AS (SELECT symbol, snap, (tb - ta) / (tb + ta) AS x FROM tot), p AS (SELECT *, last_value(x) OVER (PARTITION BY symbol ORDER BY snap RANGE BETWEEN UNBOUNDED PRECEDING AND {w} PRECEDING) AS was FROM i)
  SELECT symbol, snap, round(coalesce((x - was) / {s}, 0.0), 9) AS velocity FROM p""", {**_S, "w": 5_000_000, "s": 5.0}, {**_SS, "w": 4 * DAY}),
-    Operator("l2_withdrawal", _BOOK + """, p AS (SELECT *, last_value(tb) OVER (PARTITION BY symbol ORDER BY snap RANGE BETWEEN UNBOUNDED PRECEDING AND {w} PRECEDING) AS b0, last_value(ta) OVER (PARTITION BY symbol ORDER BY snap RANGE BETWEEN UNBOUNDED PRECEDING AND {w} PRECEDING) AS a0 FROM tot),
+    Operator("l2_withdrawal", _REAL + """, p AS (SELECT *, last_value(tb) OVER (PARTITION BY symbol ORDER BY snap RANGE BETWEEN UNBOUNDED PRECEDING AND {w} PRECEDING) AS b0, last_value(ta) OVER (PARTITION BY symbol ORDER BY snap RANGE BETWEEN UNBOUNDED PRECEDING AND {w} PRECEDING) AS a0 FROM tot),
  d AS (SELECT symbol, snap, greatest(0, coalesce(b0, tb) - tb) AS lost_b, greatest(0, coalesce(a0, ta) - ta) AS lost_a FROM p) SELECT symbol, snap, CASE WHEN lost_b + lost_a = 0 THEN 0.0 ELSE (lost_b - lost_a) / (lost_b + lost_a) END AS asymmetry FROM d""", {**_S, "w": 5_000_000}, {**_SS, "w": 4 * DAY}),
-    Operator("fe01_book_ofi", f"""WITH {_LV}, d AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY snap) AS k, row_number() OVER (PARTITION BY symbol, snap, side ORDER BY {_FIRST}) AS place FROM lv),
+    Operator("fe01_book_ofi", f"""WITH {_RESTING}, d AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY snap) AS k, row_number() OVER (PARTITION BY symbol, snap, side ORDER BY {_FIRST}) AS place FROM lv),
  u AS (SELECT symbol, k, side, price, v FROM d WHERE place <= 10 UNION ALL SELECT symbol, k + 1, side, price, -v FROM d WHERE place <= 10), g AS (SELECT symbol, k, side, price, sum(v) AS dv FROM u GROUP BY 1, 2, 3, 4),
  r AS (SELECT *, dv / (row_number() OVER (PARTITION BY symbol, k, side ORDER BY {_FIRST})) AS part FROM g), t AS (SELECT DISTINCT symbol, k, snap FROM d)
  SELECT t.symbol, t.snap, CASE WHEN t.k = 1 THEN 0.0 ELSE round(sum(CASE WHEN side = 'B' THEN part ELSE -part END), 6) END AS ofi FROM t JOIN r ON t.symbol = r.symbol AND t.k = r.k GROUP BY t.symbol, t.snap, t.k""", _S, _SS),

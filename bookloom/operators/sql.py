@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bookloom.operators import book
 from bookloom.sources import mbo as source
 
 _DECIMAL = re.compile(r"(?<![\w.])(\d+\.\d+)(?![\w.])")
@@ -22,7 +23,7 @@ def _doubles(sql: str) -> str:
 
 @dataclass(frozen=True)
 class Operator:
-    """name, statement with {mbo}, {quotes} or a table's name in braces, defaults as the reference has them, values for the driver's tables."""
+    """name, statement with {mbo}, {quotes}, {book} (at the times of {step}) or a table's name in braces, defaults as the reference has them, values for the driver's tables."""
 
     name: str
     sql: str
@@ -54,6 +55,8 @@ class Operator:
                 found[t] = source.read(spark, sf_dir)
             elif t == "quotes":
                 found[t] = source.quotes(spark, source.read(spark, sf_dir))
+            elif t == "book":
+                found[t] = book.book(source.read(spark, sf_dir), {**self.defaults, **self.scaled}["step"])
             else:
                 found[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
         return self.apply(spark, found, **self.scaled)
@@ -61,11 +64,11 @@ class Operator:
     def oracle(self) -> str:
         text = re.sub(r"\bORD\b", "row(ts_us, seq)", self.statement(**self.scaled)).replace("MEDIAN(", "quantile_cont(0.5, ")
         text = re.sub(r"quantile_cont\(0\.5, (\w+)\)", r"quantile_cont(\1, 0.5)", text).replace("QUANTILE(", "quantile_cont(")
-        used = self.tables()
-        views = ["mbo"] * bool({"mbo", "quotes"} & set(used)) + ["quotes"] * ("quotes" in used)
+        used, step = self.tables(), {**self.defaults, **self.scaled}.get("step")
+        views = ["mbo"] * bool({"mbo", "quotes", "book"} & set(used)) + [v for v in ("quotes", "book") if v in used]
         for t in used:
             text = text.replace("{" + t + "}", t)
-        heads = ", ".join(f"{v} AS ({source.DUCKDB[v]})" for v in views)
+        heads = ", ".join(f"{v} AS ({book.sql(step) if v == 'book' else source.DUCKDB[v]})" for v in views)
         if not heads:
             return text
         return f"WITH {heads}, {text[5:]}" if text.startswith("WITH ") else f"WITH {heads} {text}"
