@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bookloom import composed
 from bookloom.operators import adapter, books, dense, features, frames, matches, models, queues, research, scans, stateful
 from bookloom.sources import mbo as source
 
@@ -26,14 +27,14 @@ def _stateful() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return run
 
     return {
-        "st11_cusum": on("quotes", stateful.cusum, h=50.0), "cf01_streaks": on("mbo", stateful.streaks, least=2), "fe21_kalman": on("quotes", stateful.kalman),
+        "cf01_streaks": on("mbo", stateful.streaks, least=2), "fe21_kalman": on("quotes", stateful.kalman),
         "fe03_vpin_reset": on("mbo", stateful.vpin_reset, bucket=100.0), "sp01_spectral": on("mbo", stateful.spectral, step_us=60 * MIN), "bt01_backtest": on("quotes", stateful.backtest, stop=0.5),
         "l2_imbalance_ema": on("quotes", queues.imbalance_ema), "cf04_stop_run": lambda s, d: queues.stop_runs(stateful.streaks(source.read(s, d), least=1), depth=1, velocity=1e-5),
         "bk03_queue_positions": on("mbo", queues.queue_positions, tick=5.0), "bk03_pro_rata": on("mbo", queues.queue_positions, tick=5.0, pro_rata=True), "ex01_fill_simulation": _fills,
         "ex07_position_limits": lambda s, d: queues.position_limits(stateful.backtest(source.quotes(s, source.read(s, d)), stop=0.5)), "lt01_levels": on("mbo", queues.track_levels, step_us=60 * MIN, age_us=120 * MIN, fade_us=600 * MIN, tick=20.0),
         "st04_bursts": on("mbo", queues.bursts, span_us=60 * MIN, least=2, gap_us=300 * MIN, before_us=30 * MIN, after_us=60 * MIN), "nb12_anchors": on("quotes", queues.anchors, move=20.0, gap_us=300 * MIN),
         "fe19_flux_stark": on("quotes", dense.flux_stark, window=8, recent=3), "fe23_wavelet": on("quotes", dense.wavelets, step_us=10 * MIN), "fe24_modes": on("quotes", dense.modes), "fe25_hilbert": on("quotes", dense.hilbert),
-        "fe26_coherence": on("quotes", dense.depth_coherence, segment=4), "fe27_signature": on("quotes", dense.signatures), "fe28_hawkes": on("quotes", dense.hawkes_fit), "cv06_augment": on("quotes", dense.augment), "cv04_gain": _gain,
+        "fe26_coherence": on("quotes", dense.depth_coherence, segment=4), "fe28_hawkes": on("quotes", dense.hawkes_fit), "cv06_augment": on("quotes", dense.augment), "cv04_gain": _gain,
     }
 
 
@@ -128,8 +129,8 @@ def _matched() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: o.query for name, o in OPERATORS.items()} | _framed() | _stateful() | _learned() | _matched() | _adapted()
+    return {name: o.query for name, o in OPERATORS.items()} | _framed() | _stateful() | _learned() | _matched() | _adapted() | composed.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: o.oracle() for name, o in OPERATORS.items()} | {"tk09_exemplars": models.EXEMPLARS_SQL, "pt05_template_match": models.MATCH_SQL} | _MATCH_SQL | _ADAPTER_SQL
+    return {name: o.oracle() for name, o in OPERATORS.items()} | {"tk09_exemplars": models.EXEMPLARS_SQL, "pt05_template_match": models.MATCH_SQL} | _MATCH_SQL | _ADAPTER_SQL | composed.oracle_sql()

@@ -92,7 +92,6 @@ OPERATORS = [
     Operator("cv01_folds", """WITH g AS (SELECT symbol, seq, ntile(5) OVER (PARTITION BY symbol ORDER BY ts_us, seq) AS grp FROM {mbo}), n AS (SELECT symbol, grp, count(*) AS k FROM g GROUP BY symbol, grp), s AS (SELECT symbol, CAST(sum(k) AS BIGINT) AS every FROM n GROUP BY symbol)
  SELECT a.symbol, CAST(a.grp AS BIGINT) AS x, CAST(b.grp AS BIGINT) AS y, a.k + b.k AS test_rows, every - a.k - b.k AS train_rows FROM n a JOIN n b ON a.symbol = b.symbol AND a.grp < b.grp JOIN s ON a.symbol = s.symbol"""),
     Operator("wn06_rank_quartiles", "SELECT symbol, seq, CAST(floor((row_number() OVER (PARTITION BY symbol ORDER BY price, seq) - 1) * 4 / count(*) OVER (PARTITION BY symbol)) AS BIGINT) AS quartile FROM {mbo}"),
-    Operator("wn03_rolling_tier", _SCORES + f", q AS (SELECT symbol, seq, p, MEDIAN(p) {_ROWS} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS mid_p, count(*) {_ROWS} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS n FROM s) SELECT symbol, seq, CASE WHEN n < 100 THEN 'warm' WHEN p >= mid_p THEN 'high' ELSE 'low' END AS tier FROM q"),
     Operator("wn07_hit_streak", f"SELECT symbol, seq, avg(CASE WHEN side = 'A' THEN 1.0 ELSE -1.0 END) {_ROWS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS streak FROM {{mbo}} WHERE action = 'F'"),
     Operator("st01_tumbling", "SELECT symbol, ts_us - ts_us % {g} AS bucket_us, count(*) AS n, max(seq) AS last_seq FROM {mbo} GROUP BY 1, 2", {"g": 100_000}, {"g": 100 * MIN}),
     Operator("st03_horizon_counts", "SELECT symbol, seq, count(*) OVER (PARTITION BY symbol ORDER BY ts_us RANGE BETWEEN CURRENT ROW AND {h} FOLLOWING) AS ahead FROM {mbo}", {"h": 2_000_000}, {"h": 2000 * MIN}),

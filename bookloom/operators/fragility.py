@@ -38,23 +38,24 @@ def refresh_rates(quotes: DataFrame, adds: DataFrame, window_us: int) -> DataFra
     return sums.select("symbol", "seq", *[(F.col(c) / (window_us / SECOND)).alias(c) for c in counts])
 
 
-def fragility(quotes: DataFrame, adds: DataFrame, vpin: DataFrame, stress: DataFrame | None = None, tick: float = 0.25, fast_us: int = 5 * SECOND, slow_us: int = 30 * SECOND, window_us: int = SECOND) -> DataFrame:
+def fragility(quotes: DataFrame, adds: DataFrame, vpin: DataFrame, stress: DataFrame | None = None, tick: float = 0.25, fast_us: int = 5 * SECOND, slow_us: int = 30 * SECOND, window_us: int = SECOND, fall: float = FALL_PER_S, churn: float = CHURN_PER_S, refresh: float = REFRESH_PER_S, wide: float = SPREAD_TICKS) -> DataFrame:
     """symbol, seq, DF, CF, RF, SF, FT, CIS, fi_fast, fi_full, signal_threshold, size_multiplier of each quote.
 
     quotes: symbol, ts_us, seq (unique in the symbol), bid, ask, bid_size, ask_size; adds: symbol, ts_us, side of passive adds at
     the best; vpin: symbol, at_us, vpin; stress: symbol, at_us, stress.  What is not known yet is 0; every part is cut to 0..1.
+    fall, churn, refresh, wide: what a part is divided by (changes of depth and adds a second, ticks over one).
     """
     block = max(slow_us, LEAST_BLOCK_US)
     base = quotes.select("symbol", "ts_us", "seq", ((F.col("ask") - F.col("bid")) / tick).alias("ticks"))
     base = last_until(base, vpin.select("symbol", "at_us", "vpin"), ["vpin"], block)
     base = base.withColumn("stress", F.lit(0.0)) if stress is None else last_until(base, stress.select("symbol", "at_us", "stress"), ["stress"], block)
-    fall, churn = (depth_rate(quotes, w).withColumnRenamed("rate", c) for w, c in ((fast_us, "fall"), (slow_us, "churn")))
-    met = base.join(fall, ["symbol", "seq"]).join(churn, ["symbol", "seq"]).join(refresh_rates(quotes, adds, window_us), ["symbol", "seq"])
+    fast, slow = (depth_rate(quotes, w).withColumnRenamed("rate", c) for w, c in ((fast_us, "fast"), (slow_us, "slow")))
+    met = base.join(fast, ["symbol", "seq"]).join(slow, ["symbol", "seq"]).join(refresh_rates(quotes, adds, window_us), ["symbol", "seq"])
     parts = {
-        "DF": _clip(-F.col("fall") / FALL_PER_S), "CF": _clip(F.abs("churn") / CHURN_PER_S), "RF": _clip((F.col("bid_rate") + F.col("ask_rate")) / REFRESH_PER_S),
-        "SF": _clip((F.col("ticks") - 1) / SPREAD_TICKS), "FT": _clip(F.col("vpin")), "CIS": _clip(F.col("stress")),
+        "DF": _clip(-F.col("fast") / fall), "CF": _clip(F.abs("slow") / churn), "RF": _clip((F.col("bid_rate") + F.col("ask_rate")) / refresh),
+        "SF": _clip((F.col("ticks") - 1) / wide), "FT": _clip(F.col("vpin")), "CIS": _clip(F.col("stress")),
     }
     out = met.select("symbol", "seq", *[v.alias(k) for k, v in parts.items()])
-    fast, full = (sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)) for weights in (FAST, FULL))
-    out = out.withColumns({"fi_fast": F.round(fast, 9), "fi_full": F.round(full, 9)})
+    fi_fast, fi_full = (sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)) for weights in (FAST, FULL))
+    out = out.withColumns({"fi_fast": F.round(fi_fast, 9), "fi_full": F.round(fi_full, 9)})
     return out.withColumns({"signal_threshold": F.when(F.col("fi_fast") > ELEVATED, 0.40).otherwise(0.55), "size_multiplier": F.when(F.col("fi_full") > REDUCE, 0.5).otherwise(1.0)})
