@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bookloom import composed
-from bookloom.operators import adapter, books, dense, features, frames, matches, models, queues, research, scans, stateful
+from bookloom.operators import adapter, barriers, books, dense, features, frames, halo, matches, models, queues, research, scans, stateful
 from bookloom.sources import mbo as source
 
 OPERATORS = {o.name: o for o in (*scans.OPERATORS, *features.OPERATORS, *books.OPERATORS, *research.OPERATORS)}
@@ -69,7 +69,7 @@ def _learned() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _framed() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """What runs by blocks of time; the statement of the same name stays its oracle."""
+    """What runs by blocks of time or parts of symbols; the statement of the same name stays its oracle."""
 
     def on(name: str, f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,8 @@ def _framed() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {name: on(name, f) for name, f in frames.OPERATORS.items()}
+    by_frames = {**frames.OPERATORS, "lb01_triple_barrier": barriers.triple_barrier, "lb02_excursions": barriers.excursions}
+    return {name: on(name, f) for name, f in by_frames.items()} | {name: halo.query(OPERATORS[name], h) for name, h in halo.HALOS.items()}
 
 
 _SNAPS = f"SELECT symbol, ts_us - ts_us % {600 * MIN} AS snap, max(CASE WHEN side = 'B' THEN price END) AS bid, min(CASE WHEN side = 'A' THEN price END) AS ask FROM {{mbo}} WHERE action = 'A' GROUP BY 1, 2"

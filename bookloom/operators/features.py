@@ -36,7 +36,7 @@ OPERATORS = [
     Operator("fe02_vpin", _VPIN + " SELECT symbol, bucket, end_us, CASE WHEN n = {last} THEN round(mean, 9) END AS vpin FROM m", {"bucket": 500, "last": 50}, {"bucket": 150}),
     Operator("l2_flow_toxicity", _VPIN + ", q AS (SELECT symbol, seq, ts_us FROM {quotes}), e AS (SELECT q.symbol, q.seq, max(bucket) AS bucket FROM q LEFT JOIN m ON q.symbol = m.symbol AND m.end_us <= q.ts_us GROUP BY 1, 2) SELECT e.symbol, e.seq, CASE WHEN n = {last} THEN round(mean, 9) END AS vpin FROM e LEFT JOIN m ON e.symbol = m.symbol AND e.bucket = m.bucket", {"bucket": 500, "last": 50}, {"bucket": 150}),
     Operator("l1_static", """SELECT symbol, seq, (ask - bid) / 0.25 AS spread_ticks, round((ask - bid) / mid * 10000.0, 6) AS spread_bps, bid_size, ask_size, (bid_size - ask_size) / (bid_size + ask_size) AS top_imbalance FROM {quotes} WHERE mid > 0"""),
-    Operator("l1_velocities", f"""WITH f AS (SELECT *, first_value(bid) {_last('{w}')} AS b0, first_value(ask) {_last('{w}')} AS a0, first_value(ask - bid) {_last('{w}')} AS s0, min(ts_us) {_last('{w}')} AS t0 FROM {{quotes}})
+    Operator("l1_velocities", f"""WITH f AS (SELECT *, min_by(bid, ORD) {_last('{w}')} AS b0, min_by(ask, ORD) {_last('{w}')} AS a0, min_by(ask - bid, ORD) {_last('{w}')} AS s0, min(ts_us) {_last('{w}')} AS t0 FROM {{quotes}})
  SELECT symbol, seq, CASE WHEN ts_us = t0 THEN 0.0 ELSE round(greatest(0.0, -(bid - b0) / ((ts_us - t0) / 1000000.0)), 9) END AS bid_retreat, CASE WHEN ts_us = t0 THEN 0.0 ELSE round(greatest(0.0, (ask - a0) / ((ts_us - t0) / 1000000.0)), 9) END AS ask_advance,
  CASE WHEN ts_us = t0 THEN 0.0 ELSE round((ask - bid - s0) / ((ts_us - t0) / 1000000.0), 9) END AS spread_rate FROM f""", {"w": 250_000}, {"w": 250 * MIN}),
     Operator("l1_refresh_rate", f"SELECT symbol, seq, count(CASE WHEN action = 'A' AND side = 'B' THEN 1 END) {_last('{w}')} AS bid_adds, count(CASE WHEN action = 'A' AND side = 'A' THEN 1 END) {_last('{w}')} AS ask_adds FROM {{mbo}}", {"w": 100_000}, {"w": 600 * MIN}),

@@ -199,8 +199,25 @@ def activity_mask(mbo: DataFrame, quotes: DataFrame, after: int, before: int) ->
     return frame_sums(mbo, {"n": large}, after, before).select("symbol", "seq", (F.col("n") > 0).alias("active"))
 
 
+def depth_change(mbo: DataFrame, quotes: DataFrame, w: int, s: float) -> DataFrame:
+    """Depth against that of the last quote w ago or earlier."""
+    rows = quotes.select("symbol", "seq", "ts_us", (F.col("bid_size") + F.col("ask_size")).alias("depth"))
+    facts = rows.groupBy("symbol", F.col("ts_us").alias("at_us")).agg(F.max_by("depth", "seq").alias("was"))
+    met = last_until(rows.withColumn("ts_us", F.col("ts_us") - w), facts, ["was"], max(w, LEAST_BLOCK_US))
+    return met.select("symbol", "seq", "depth", "was", F.coalesce((F.col("depth") - F.col("was")) / s, F.lit(0.0)).alias("rate"))
+
+
+def asof_backward(mbo: DataFrame, quotes: DataFrame, ahead: int) -> DataFrame:
+    """The last trade by the time `ahead` after each quote."""
+    trades_at = mbo.where(F.col("action").isin("F", "T")).select("symbol", F.col("ts_us").alias("at_us")).distinct()
+    asked = quotes.select("symbol", "seq", (F.col("ts_us") + ahead).alias("ts_us"))
+    met = last_until(asked, trades_at.withColumn("trade_us", F.col("at_us")), ["trade_us"], max(ahead, LEAST_BLOCK_US))
+    return met.select("symbol", "seq", F.col("ts_us").alias("target_us"), "trade_us")
+
+
 OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "fe06_trade_ofi": trade_ofi, "fe07_realized_variance": realized_variance, "fe09_kyle_lambda": kyle_lambda, "fe10_tick_pin": tick_pin, "fe12_depth_response": depth_response,
     "l2_signed_flow": signed_flow, "jn08_asof_forward": asof_forward, "st16_outcome_tracker": outcome_tracker, "l1_tick_acceleration": tick_acceleration, "l1_refresh_rate": refresh_rate,
     "fe02_vpin": vpin_buckets, "l2_flow_toxicity": flow_toxicity, "st03_horizon_counts": horizon_counts, "st04_burst_rows": burst_rows, "nb13_lead_label": lead_label, "jn11_activity_mask": activity_mask,
+    "l2_depth_change": depth_change, "jn07_asof_backward": asof_backward,
 }

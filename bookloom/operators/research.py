@@ -72,7 +72,7 @@ OPERATORS = [
     Operator("fe29_network_momentum", _PAIRS + """, m AS (SELECT symbol, day_us, (avg(r) OVER (PARTITION BY symbol ORDER BY day_us ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / stddev_samp(r) OVER (PARTITION BY symbol ORDER BY day_us ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) + avg(r) OVER (PARTITION BY symbol ORDER BY day_us ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) / stddev_samp(r) OVER (PARTITION BY symbol ORDER BY day_us ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) / 2 AS m FROM r WHERE r IS NOT NULL),
  t AS (SELECT a, b, day_us, CASE WHEN abs(c) >= 0.15 THEN c ELSE 0.0 END AS w FROM adj), n AS (SELECT t.a, t.day_us, sum(w * m.m) / sum(abs(w)) AS nb FROM t JOIN m ON t.b = m.symbol AND t.day_us = m.day_us GROUP BY 1, 2 HAVING sum(abs(w)) > 0)
  SELECT m.symbol, m.day_us, round(0.5 * n.nb + 0.5 * m.m, 6) AS momentum FROM m JOIN n ON m.symbol = n.a AND m.day_us = n.day_us WHERE m.m IS NOT NULL""", _K, _KS),
-    Operator("l1_micro_velocity", f"WITH p AS (SELECT symbol, seq, ts_us, (bid * ask_size + ask * bid_size) / (bid_size + ask_size) AS micro FROM {{quotes}}), f AS (SELECT *, first_value(micro) {_last('{w}')} AS m0, min(ts_us) {_last('{w}')} AS t0 FROM p) SELECT symbol, seq, CASE WHEN ts_us = t0 THEN 0.0 ELSE round((micro - m0) / ((ts_us - t0) / 1000000.0), 9) END AS velocity FROM f", {"w": 250_000}, {"w": 250 * MIN}),
+    Operator("l1_micro_velocity", f"WITH p AS (SELECT symbol, seq, ts_us, (bid * ask_size + ask * bid_size) / (bid_size + ask_size) AS micro FROM {{quotes}}), f AS (SELECT *, min_by(micro, ORD) {_last('{w}')} AS m0, min(ts_us) {_last('{w}')} AS t0 FROM p) SELECT symbol, seq, CASE WHEN ts_us = t0 THEN 0.0 ELSE round((micro - m0) / ((ts_us - t0) / 1000000.0), 9) END AS velocity FROM f", {"w": 250_000}, {"w": 250 * MIN}),
     Operator("l1_shape", f"WITH v AS (SELECT symbol, seq, bid_size AS b, ask_size AS a, (ask - bid) / mid * 10000.0 AS s, {_IMB} AS i FROM {{quotes}} WHERE mid > 0), n AS (SELECT *, sqrt(b * b + a * a + s * s + i * i) AS len FROM v) SELECT symbol, seq, round((0.25 * b + 0.25 * a + 0.2 * s + 0.3 * i) / len, 9) AS shape, round(b / len, 9) AS u0, round(a / len, 9) AS u1, round(i / len, 9) AS u3 FROM n"),
     Operator("lb05_firing_labels", f"""WITH e AS (SELECT symbol, seq, ts_us, max(ts_us) OVER (PARTITION BY symbol) AS end_us, CASE WHEN action = 'C' AND size >= {{large}} THEN ts_us END AS fire_us, CASE WHEN action = 'C' AND size >= {{large}} THEN size END AS score FROM {{mbo}}), f AS (SELECT *, min(fire_us) {_next('{h}')} AS first_us, max(score) {_next('{h}')} AS best FROM e)
  SELECT symbol, seq, CASE WHEN first_us IS NOT NULL THEN 1 WHEN ts_us + {{h}} <= end_us THEN 0 END AS fired, first_us, best FROM f""", {"h": 60_000_000, "large": 50}, {"h": 600 * MIN, "large": 80}),
