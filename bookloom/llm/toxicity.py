@@ -3,11 +3,11 @@
 1. A character trigram model is counted over all texts (one vector of fixed size for each task is summed).
 2. Words with digits or marks in the place of letters, with letters repeated, or spelled out in pieces of one or two
    characters with anything between them become a lattice of readings; a Viterbi search under the model restores the
-   likeliest text.  So do two short neighbours that make a word with odds.
+   likeliest text.  So do neighbouring pieces of any length whose letters are those of a word with odds.
 3. Restored words and their beginnings get log odds from a bounded sample of labelled rows; the largest odds in a
    text and how many words have any are weighed by a logistic regression, fitted with the odds of the other half.
-4. All texts are restored and scored.  A span is restored only if its letters, read by the channel and with repeats left
-   out, hold those of a word with odds: others cannot be restored to one, so nothing is lost.
+4. All texts are restored and scored.  A span is restored only if its letters, with repeats left out and each sign that may
+   be left out both read and not, hold those of a word with odds: others cannot be restored to one, so nothing is lost.
 
 Edge cases: a null or empty text has no words and gets the score of a text without any suspect word; without labels
 the score is 0 for all; rows with a null doc_id are scored and not held out; repeated rows are scored each; spans of
@@ -16,7 +16,6 @@ any length are restored, those over `CACHED` characters anew each time; other co
 
 from __future__ import annotations
 
-import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -165,10 +164,17 @@ class Restorer:
         return _WORD.findall(text), [self.known(r) for r in runs if may(r)]
 
 
-def skeletons(text: str) -> set[str]:
-    """The letters that a lower-case text can be read as, without repeats: with and without the signs that may be left out."""
-    tables = (_READ, _LEFT) if any(c in text for c in MAYBE) else (_READ,)
-    return {_RUN.sub(r"\1", _OTHER.sub("", text.translate(t))) for t in tables}
+def skeletons(text: str, most: int = 8) -> set[str] | None:
+    """The letters that a lower-case text can be read as, without repeats: each sign that may be left out is read or left
+    out, whatever the others are.  None: more than `most` such signs, so that its reading has to be looked at anyway."""
+    signs = sum(map(text.count, MAYBE))
+    if signs > most:
+        return None
+    readings = [text.translate(_LEFT)]
+    for _ in range(signs):
+        at = next(i for i, c in enumerate(readings[0]) if c in MAYBE)
+        readings = [r[:at] + x + r[at + 1 :] for r in readings for x in (_READ[ord(r[at])], " ")]
+    return {_RUN.sub(r"\1", _OTHER.sub("", r)) for r in readings}
 
 
 def features(word: str) -> list[str]:
@@ -181,10 +187,10 @@ class Scorer:
 
     def __init__(self, restorer: Restorer, odds: dict[str, float], weights: np.ndarray | None = None):
         self.restorer, self.odds, self.weights = restorer, odds, weights
-        self.found, self.spans, self.begun, self.heads = None, None, None, None
+        self.found, self.spans, self.begun, self.heads, self.starts = None, None, None, None, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"found": None, "spans": None, "begun": None, "heads": None}
+        return self.__dict__ | {"found": None, "spans": None, "begun": None, "heads": None, "starts": None}
 
     def may(self, span: str) -> bool:
         """Can a reading of the span hold a word with odds, or its beginning?"""
@@ -195,7 +201,36 @@ class Scorer:
                     if s:
                         self.found.add_word(s, True)
             self.found.make_automaton()
-        return bool(len(self.found)) and any(next(self.found.iter(s), None) for s in skeletons(span))
+        if not len(self.found):
+            return False
+        read = skeletons(span)
+        return read is None or any(next(self.found.iter(s), None) for s in read)
+
+    def begin(self, piece: str) -> tuple[str, ...]:
+        """The readings of a piece that a word with odds begins with."""
+        if piece.isalpha():  # most pieces: their first three letters tell
+            head = piece[:3].replace("l", "i")
+            if head not in self.parts and head[0] != head[1:2] != head[2:3]:
+                return ()
+        return tuple(r for r in self.letters[piece] if r in self.parts)
+
+    def cut(self, pieces: list[str]) -> list[str]:
+        """Stretches of two lower-case pieces or more, of any length and with signs in them, whose letters are those of a word with odds."""
+        if self.starts is None:
+            self.whole = {_RUN.sub(r"\1", f.translate(_READ)) for f in self.odds if f.isalpha()}
+            self.parts = {f[:k] for f in self.whole for k in range(1, len(f) + 1)}
+            self.letters = Cache(lambda x: tuple(skeletons(x, 64) or ()) if sum(map(x.count, MAYBE)) < 12 else (), 100_000)
+            self.starts = Cache(self.begin, 200_000)
+        out = []
+        for i in [i for i, x in enumerate(map(self.starts.__getitem__, pieces)) if x]:
+            heads = set(self.starts[pieces[i]])
+            for j in range(i + 1, len(pieces)):
+                heads = {x + y[y[:1] == x[-1] :] for x in heads for y in self.letters[pieces[j]]} & self.parts
+                if not heads:
+                    break
+                if heads & self.whole:
+                    out.append(" ".join(pieces[i : j + 1]))
+        return out
 
     def word(self, w: str) -> float:
         if self.begun is None:  # odds of beginnings, and what the shortest of them begin with
@@ -214,14 +249,12 @@ class Scorer:
     def rows(self, texts: list[str]) -> np.ndarray:
         if self.spans is None:  # odds of spans
             self.spans = Cache(self.of, 200_000)
-        known, words = self.spans, self.odds.keys()
+        known = self.spans
         out = np.zeros((len(texts), 4))
         for i, text in enumerate(texts):
             spans, spelled = self.restorer.text(text, self.may)
-            low = text.lower().split()
-            if words & set(map(operator.add, low, low[1:])):
-                spelled += [self.restorer.known(f"{a} {b}") for a, b in zip(low, low[1:]) if len(a) < 6 > len(b) and a + b in words]
-            found = [*map(known.__getitem__, set(spans)), *map(self.odd, spelled)]
+            spelled += map(self.restorer.known, self.cut(text.lower().split()))
+            found = [*map(known.__getitem__, set(spans)), *map(self.odd, set(spelled))]
             top = sorted(filter(None, found), reverse=True)
             out[i, : min(3, len(top))] = top[:3]
             out[i, 3] = np.log1p(len(top))
