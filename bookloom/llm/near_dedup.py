@@ -18,7 +18,7 @@
 
 Edge cases: a null or empty text has no shingles; all such texts are one class; repeated rows join one class; a row
 with a null doc_id gets the class of its text, which is null where no such text has an identifier; an empty table
-gives no rows; other columns are left out.  doc_id is to name a text: of different texts under one doc_id, one is verified.
+gives no rows; other columns are left out.  Different texts under one doc_id are texts of their own, each in its own class.
 """
 
 from __future__ import annotations
@@ -207,13 +207,38 @@ def links(rows: DataFrame) -> DataFrame:
     return pairs.unionByName(every).where("other <> node").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def texts_of(ids: DataFrame, most: int, docs: DataFrame) -> DataFrame:
-    """doc_id and text of the identifiers, a text each; most texts are not shuffled."""
-    near = passing(docs.select("doc_id", "text"), "doc_id", id_filter(ids, most))
-    return materialise(near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+def with_digest(rows: DataFrame) -> DataFrame:
+    """rows with d0, d1, the digest of the words of `text`."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("d0", T.LongType()), T.StructField("d1", T.LongType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in text_slices(batches):
+            digest = shingles(s.column("text"), 5)[4]
+            yield pa.RecordBatch.from_arrays([*s.columns, *[pa.array(np.ascontiguousarray(digest[:, i]).view(np.int64)) for i in (0, 1)]], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+@dataclass(frozen=True)
+class Texts:
+    """Documents, and nodes (node, rep, d0, d1): the text of a node is that of a document with its identifier, and with its digest where identifiers clash."""
 
-def missed(hot: DataFrame, docs: DataFrame, weights: Weights, how: Near) -> DataFrame:
+    docs: DataFrame
+    nodes: DataFrame
+    clash: bool
+
+    def of(self, ids: DataFrame, most: int) -> DataFrame:
+        """doc_id (the node) and text of the nodes of ids (node), a text each; most texts are not shuffled."""
+        asked = self.nodes.select("node", F.col("rep").alias("doc_id"), "d0", "d1").join(ids, "node", "left_semi")
+        near = passing(self.docs.select("doc_id", "text"), "doc_id", id_filter(asked.select("doc_id"), most))
+        if self.clash:
+            met = with_digest(near).join(asked, ["doc_id", "d0", "d1"])
+        else:
+            met = near.join(asked, "doc_id")
+        return materialise(met.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
+
+
+def missed(hot: DataFrame, source: Texts, weights: Weights, how: Near) -> DataFrame:
     """hot: node, label (its class so far), sketch.  Candidates (a, b) that connect all nodes of similarity enough.
 
     Shingles have one order, by how many of the nodes have them.  Two nodes of similarity t share t of the weight of
@@ -223,7 +248,7 @@ def missed(hot: DataFrame, docs: DataFrame, weights: Weights, how: Near) -> Data
     lightest, v, is at least as similar to x; with u the lightest for x, so are u and v, and u and y: x - v - u - y is a
     chain.  So nodes are compared with the lightest ones only, in blocks of those with a frequent prefix shingle in common.
     """
-    texts = texts_of(hot.select(F.col("node").alias("doc_id")), hot.count(), docs)
+    texts = source.of(hot.select("node"), hot.count())
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("h", T.LongType()), T.StructField("w", T.DoubleType())])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,9 +331,9 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, pairs.schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, weights: Weights, how: Near) -> DataFrame:
+def verified(pairs: DataFrame, source: Texts, weights: Weights, how: Near) -> DataFrame:
     """a, b, similarity of the pairs at or above the threshold, by their whole texts."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 2 * pairs.count(), docs)
+    texts = source.of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * pairs.count())
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     schema = T.StructType([*pairs.schema.fields, T.StructField("similarity", T.DoubleType())])
 
@@ -345,33 +370,53 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, how: Near = Near()) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), kept (true for that document), n_links of every row.
-
-    n_links counts the verified links between its text and other texts: all within small bands, what joins the class in hot ones.
-    """
+def _classes(docs: DataFrame, how: Near) -> tuple[DataFrame, bool]:
+    """doc_id, d0, d1, class_id, kept, n_links of every row; do texts share an identifier?"""
     weights = common_shingles(docs, how)
     signed = materialise(signatures(docs, weights, how), "signatures")
-    nodes = materialise(signed.groupBy("d0", "d1").agg(F.min("doc_id").cast("long").alias("node"), *[F.min(c).alias(c) for c in (*_BANDS, *_SKETCH)]), "nodes")
-    named = nodes.where("node is not null")
+    clash = not signed.where("doc_id is not null").groupBy("doc_id").agg((F.min(F.struct("d0", "d1")) != F.max(F.struct("d0", "d1"))).alias("x")).where("x").isEmpty()
+    # A node is a text, named by a number of its own: identifiers may be those of several texts.
+    nodes = signed.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in (*_BANDS, *_SKETCH)])
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    named = nodes.where("rep is not null")
+    source = Texts(docs, named.select("node", "rep", "d0", "d1"), clash)
     rows = materialise(band_rows(named.select("node", *_BANDS), how), "bands")
     pairs = materialise(agreeing(links(rows), named, how), "pairs")
-    edges = materialise(verified(pairs, docs, weights, how), "verified")
+    edges = materialise(verified(pairs, source, weights, how), "verified")
     labels = components(edges)
     hot = rows.where("hot").select("node").distinct().join(named.select("node", *_SKETCH), "node").join(labels, "node", "left")
     hot = materialise(hot.withColumn("label", F.coalesce("label", "node")), "hot")
     if hot.limit(1).count():
-        more = materialise(verified(materialise(missed(hot, docs, weights, how), "missed"), docs, weights, how), "verified")
+        more = materialise(verified(materialise(missed(hot, source, weights, how), "missed"), source, weights, how), "verified")
         edges = edges.unionByName(more)
         labels = components(edges)
     ends = edges.select("a", "b").distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = nodes.select("d0", "d1", "node").join(labels, "node", "left").join(ends, "node", "left")
-    known = known.select("d0", "d1", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    heads = labels.join(named.select("node", "rep"), "node").groupBy("label").agg(F.min(F.struct("rep", "node")).alias("head"))
+    known = nodes.select("d0", "d1", "node", "rep").join(labels.join(heads, "label").select("node", "head"), "node", "left").join(ends, "node", "left")
+    head = F.coalesce("head", F.struct("rep", "node"))
+    known = known.select("d0", "d1", head["rep"].alias("class_id"), (head["node"] == F.col("node")).alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = signed.select("doc_id", "d0", "d1").join(known, ["d0", "d1"])
-    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"), "n_links")
+    kept = F.col("first") & F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))
+    return out.select("doc_id", "d0", "d1", "class_id", kept.alias("kept"), "n_links"), clash
+
+
+def classes(docs: DataFrame, how: Near = Near()) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class), kept (true for that document), n_links of every row.
+
+    n_links counts the verified links between its text and other texts: all within small bands, what joins the class in hot ones.
+    """
+    return _classes(docs, how)[0].drop("d0", "d1")
 
 
 def keep(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """The rows of docs, all columns, that stand for their class; rows without a doc_id stay."""
-    kept = classes(docs, how).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    said, clash = _classes(docs, how)
+    kept = said.where("kept")
+    if clash:
+        names = {c: F.col(c) for c in docs.columns}
+        inner = docs.select(*[v.alias(f"x_{c}") if c in ("d0", "d1") else v for c, v in names.items()])
+        rows = with_digest(inner).join(kept.select("doc_id", "d0", "d1"), ["doc_id", "d0", "d1"], "left_semi")
+        stay = rows.select(*[F.col(f"x_{c}").alias(c) if c in ("d0", "d1") else F.col(c) for c in docs.columns])
+    else:
+        stay = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return stay.unionByName(docs.where("doc_id is null"))
