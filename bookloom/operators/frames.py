@@ -215,9 +215,29 @@ def asof_backward(mbo: DataFrame, quotes: DataFrame, ahead: int) -> DataFrame:
     return met.select("symbol", "seq", F.col("ts_us").alias("target_us"), "trade_us")
 
 
+def _begin(quotes: DataFrame, columns: list[str], w: int) -> DataFrame:
+    """Adds next_<column> of the first quote of the frame that reaches w back, and the seconds since it."""
+    d = first_from(quotes.select("symbol", "seq", "ts_us", *columns), ["ts_us", *columns], -w, max(w, LEAST_BLOCK_US))
+    return d.withColumn("seconds", (F.col("ts_us") - F.col("next_ts_us")) / 1_000_000)
+
+
+def velocities(mbo: DataFrame, quotes: DataFrame, w: int) -> DataFrame:
+    d = _begin(quotes, ["bid", "ask"], w)
+    rate = lambda x: F.when(F.col("seconds") == 0, 0.0).otherwise(F.round(x, 9))
+    bid, ask, spread = (F.col("bid") - F.col("next_bid"), F.col("ask") - F.col("next_ask"), F.col("ask") - F.col("bid") - (F.col("next_ask") - F.col("next_bid")))
+    s = F.col("seconds")
+    return d.select("symbol", "seq", rate(F.greatest(F.lit(0.0), -bid / s)).alias("bid_retreat"), rate(F.greatest(F.lit(0.0), ask / s)).alias("ask_advance"), rate(spread / s).alias("spread_rate"))
+
+
+def micro_velocity(mbo: DataFrame, quotes: DataFrame, w: int) -> DataFrame:
+    micro = (F.col("bid") * F.col("ask_size") + F.col("ask") * F.col("bid_size")) / (F.col("bid_size") + F.col("ask_size"))
+    d = _begin(quotes.withColumn("micro", micro), ["micro"], w)
+    return d.select("symbol", "seq", F.when(F.col("seconds") == 0, 0.0).otherwise(F.round((F.col("micro") - F.col("next_micro")) / F.col("seconds"), 9)).alias("velocity"))
+
+
 OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "fe06_trade_ofi": trade_ofi, "fe07_realized_variance": realized_variance, "fe09_kyle_lambda": kyle_lambda, "fe10_tick_pin": tick_pin, "fe12_depth_response": depth_response,
     "l2_signed_flow": signed_flow, "jn08_asof_forward": asof_forward, "st16_outcome_tracker": outcome_tracker, "l1_tick_acceleration": tick_acceleration, "l1_refresh_rate": refresh_rate,
     "fe02_vpin": vpin_buckets, "l2_flow_toxicity": flow_toxicity, "st03_horizon_counts": horizon_counts, "st04_burst_rows": burst_rows, "nb13_lead_label": lead_label, "jn11_activity_mask": activity_mask,
-    "l2_depth_change": depth_change, "jn07_asof_backward": asof_backward,
+    "l2_depth_change": depth_change, "jn07_asof_backward": asof_backward, "l1_velocities": velocities, "l1_micro_velocity": micro_velocity,
 }

@@ -64,7 +64,7 @@ def by_parts(op: Operator, halo: Halo, spark: SparkSession, tables: dict[str, Da
 
 #: Each within its frames: the look back or ahead of the statement, and one row more where it takes differences.
 HALOS = {
-    "l1_velocities": Halo(before="w"), "l1_micro_velocity": Halo(before="w"), "l1_trade_ratios": Halo(before="w"), "ex04_adverse": Halo(after="h3"), "lb06_outcomes": Halo(after="h"), "lb05_firing_labels": Halo(after="h"),
+    "l1_trade_ratios": Halo(before="w"), "ex04_adverse": Halo(after="h3"), "lb06_outcomes": Halo(after="h"), "lb05_firing_labels": Halo(after="h"),
     "nb01_forward_returns": Halo(after=50, rows=True), "lb03_cost_binary": Halo(after="h", rows=True), "fe16_energy": Halo(before=50, rows=True), "fe17_energy_ratio": Halo(before=20, rows=True, where="mid > 0"),
     "fe18_entropy_gate": Halo(before=29, rows=True), "fe05_bvc": Halo(before=50, rows=True, where="mid > 0"),
 }

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from bookloom.catalog import OPERATORS
-from bookloom.operators import barriers, halo
+from bookloom.operators import barriers, frames, halo
 from bookloom.sources import mbo as source
 
 S = 1_000_000
@@ -33,6 +33,15 @@ def test_parts_equal_the_whole(spark, tables, name):
     assert got == exp and len(got) > 500
 
 
+@pytest.mark.parametrize("name", ["l1_velocities", "l1_micro_velocity", "l2_depth_change", "jn07_asof_backward"])
+def test_blocks_equal_the_whole(spark, tables, name):
+    op = OPERATORS[name]
+    params = {**op.defaults, **{k: 60 * S for k in ("w", "ahead") if k in op.defaults}}
+    whole = op.apply(spark, {t: tables[t] for t in op.tables()}, **params)
+    got, exp = (sorted(map(tuple, x.select(whole.columns).collect()), key=str) for x in (frames.OPERATORS[name](tables["mbo"], tables["quotes"], **params), whole))
+    assert got == exp and len(got) > 1000
+
+
 @pytest.mark.parametrize("horizon", [7, 100, 3000])
 def test_barriers(spark, tables, horizon):
     quotes = tables["quotes"].where("mid > 0")
