@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.operators import adapter, book, cascades, fragility, rolling, times, validation
+from bookloom.operators import adapter, book, cascades, engine, fragility, rolling, times, validation
 from bookloom.operators.frames import OPERATORS as FRAMES
+from bookloom.sources import library
 from bookloom.sources import mbo as source
 from bookloom.streaming import folds
 
@@ -210,6 +211,54 @@ _CV01_DAYS = f"""WITH {MBO}, e AS (SELECT symbol, min(ts_us) // {DAY} AS day FRO
  SELECT m.symbol, CAST(fold AS INT) AS fold, m.seq, CASE WHEN grp IN (a, b) THEN 'test' WHEN near THEN 'embargoed' ELSE 'train' END AS role FROM mbo m JOIN n ON m.symbol = n.symbol AND m.ts_us // {DAY} = n.day JOIN f ON m.symbol = f.symbol"""
 
 
+# -- matching against a library, and the library's figures
+
+#: Windows are vectors, patterns the means of their labels; contexts and gates follow from the numbers of both.
+_WINDOWS = "vec_id AS window_id, CASE vec_id % 3 WHEN 0 THEN 'ES' WHEN 1 THEN 'NQ' ELSE 'CL' END AS instrument, CAST(vec_id % 45 AS DOUBLE) AS vix, CAST(vec_id * 7 % 1440 AS INT) AS minutes, vec_id % 4 / 2e0 AS volume, CASE vec_id % 4 WHEN 0 THEN 'calm' WHEN 1 THEN 'fragile' END AS fragility, 2e0 AS atr, vec_id % 3 * 1e0 AS slippage_bps"
+_PATTERNS = "CASE label % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'high' END AS vix_regime, CAST(label * 100 AS INT) AS minutes, CASE WHEN label = 4 THEN 'calm' END AS fragility, label / 100e0 - 3e-2 AS best_atr, label / 10e0 - 5e-1 AS mean_atr"
+
+
+def _matching(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null").withColumn("series", F.col("embedding").cast("array<double>"))
+    head = F.slice("series", 1, 16)
+    windows = vectors.selectExpr("series", "slice(series, 1, 16) AS features", "CASE WHEN vec_id % 10 > 0 THEN slice(series, 1, 16) END AS l1", *source.select_list(_WINDOWS))
+    means = vectors.select("label", F.posexplode("series")).groupBy("label", "pos").agg(F.avg("col").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("series"))
+    templates = means.selectExpr("concat('p', label) AS pattern_id", "series", "CASE WHEN label < 3 THEN array('ES', 'CL') END AS instruments", "CASE WHEN label = 3 THEN array('low', 'high') END AS regimes", *source.select_list(_PATTERNS)).withColumn("features", head)
+    order = lambda ddl: [c.split()[0] for c in ddl.split(", ")]
+    return windows.select(order(engine.WINDOWS)), templates.select(order(engine.TEMPLATES))
+
+
+def jn15_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine.match(*_matching(spark, sf_dir))
+    return found.select("window_id", "pattern_id", F.round("score", 6).alias("score"), F.round("stage1", 6).alias("stage1"), "regime", "tier", "direction")
+
+
+def jn15_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.funnel(*_matching(spark, sf_dir))
+
+
+_SCORED = f"""WITH v AS (SELECT *, CAST(embedding AS DOUBLE[]) AS series FROM embeddings WHERE embedding IS NOT NULL), f AS (SELECT label, unnest(range(len(series))) AS i, unnest(series) AS x FROM v), c AS (SELECT label, i, avg(x) AS m FROM f GROUP BY 1, 2),
+ t AS (SELECT 'p' || label AS pattern_id, label, list(m ORDER BY i) AS series, {_PATTERNS} FROM c GROUP BY label), w AS (SELECT series, {_WINDOWS}, CASE WHEN vec_id % 45 < 15 THEN 'low' WHEN vec_id % 45 < 25 THEN 'normal' WHEN vec_id % 45 < 35 THEN 'elevated' ELSE 'high' END AS regime FROM v),
+ g AS (SELECT w.*, t.pattern_id, t.series AS centre, t.vix_regime, t.minutes AS at_minutes, t.mean_atr, (label >= 3 OR instrument IN ('ES', 'CL')) AND (label <> 3 OR regime IN ('low', 'high')) AND (t.fragility IS NULL OR w.fragility IS NULL OR t.fragility = w.fragility) AND (slippage_bps = 0 OR abs(best_atr) * atr >= slippage_bps / 10000 * 200 * 2) AS open_ FROM w, t),
+ s AS (SELECT *, CASE WHEN window_id % 10 > 0 THEN (list_cosine_similarity(series[:16], centre[:16]) + 1) / 2 ELSE 1e0 END AS stage1 FROM g),
+ r AS (SELECT *, 4e-1 * (list_cosine_similarity(series, centre) + 1) / 2 + 35e-2 / (1 + list_distance(series[:16], centre[:16])) + 25e-2 * (CASE WHEN vix_regime IS NULL OR vix_regime = regime THEN 1e0 ELSE 5e-1 END + exp(-power((at_minutes - minutes) / 90e0, 2)) + greatest(0, 1 - abs(volume - 1) / 2)) / 3 AS score FROM s)"""
+_JN15 = f"""{_SCORED} SELECT window_id, pattern_id, round(score, 6) AS score, round(stage1, 6) AS stage1, regime, CASE WHEN score >= 85e-2 THEN 'A' WHEN score >= 72e-2 THEN 'B' ELSE 'C' END AS tier, CASE WHEN mean_atr > 1e-1 THEN 'bull' WHEN mean_atr < -1e-1 THEN 'bear' ELSE 'neutral' END AS direction
+ FROM r WHERE open_ AND stage1 >= 4e-1 AND score >= 6e-1 QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY score DESC, pattern_id) <= 20"""
+_FUNNEL = f"{_SCORED} SELECT window_id, count(*) AS templates, count(*) FILTER (open_) AS gated, count(*) FILTER (open_ AND stage1 >= 4e-1) AS screened, count(*) FILTER (open_ AND stage1 >= 4e-1 AND score >= 6e-1) AS matched FROM r GROUP BY 1"
+
+
+def pt08_library_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns by symbol and direction, with the figures of their matches of the last ten days."""
+    outcomes = st16_match_outcomes(spark, sf_dir).join(_mbo(spark, sf_dir).select(F.col("seq").alias("match_id"), "side"), "match_id").withColumn("pattern_id", F.concat("symbol", F.lit("-"), "side"))
+    names = outcomes.select(F.col("pattern_id").alias("name")).distinct()
+    blank = F.lit(None).cast("string")
+    outcomes_of = F.lit(None).cast("map<string, struct<mean_atr: double, std: double, hit_rate: double, n: long>>")
+    patterns = names.select("name", F.col("name").alias("l3_signature"), blank.alias("l2_manifestation"), blank.alias("l1_footprint"), outcomes_of.alias("outcomes"), F.lit(100).alias("min_sample_size"), F.lit(False).alias("regime_specific"), F.lit(None).cast("array<string>").alias("instruments"), F.when(F.col("name").startswith("ES"), "rejected").otherwise("active").alias("status"), blank.alias("validation_hash"))
+    made = library.reaggregated(patterns, outcomes, window_us=10 * DAY)
+    figures = F.col("outcomes")["5m"]
+    return made.select("name", "status", figures["n"].alias("n"), *[F.round(figures[c], 6).alias(c) for c in ("mean_atr", "std", "hit_rate")])
+
+
 # -- times and candles
 
 SPAN = ("2024-01-05", "2024-01-07T12:00:00+02:00")
@@ -234,7 +283,7 @@ _ST08 = f"""WITH {MBO}, a AS (SELECT symbol, seq, ts_us FROM mbo WHERE action =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (bk01_book, l1_refresh_at_best, fe15_fragility_full, cs01_withdrawals, cs02_ignitions, cs04_contagion, st11_cusum, st13_throttle, st16_match_outcomes, wn03_rolling_tier, fe27_signature, cv01_purged_folds, cv01_day_folds, flt04_time_range, st08_seek)
+    made = (bk01_book, l1_refresh_at_best, fe15_fragility_full, cs01_withdrawals, cs02_ignitions, cs04_contagion, st11_cusum, st13_throttle, st16_match_outcomes, wn03_rolling_tier, fe27_signature, cv01_purged_folds, cv01_day_folds, flt04_time_range, st08_seek, jn15_matches, jn15_funnel, pt08_library_update)
     return {f.__name__: f for f in made}
 
 
@@ -246,5 +295,9 @@ def oracle_sql() -> dict[str, str]:
         "bk01_book": f"WITH {MBO} {book.sql(GRID)}", "l1_refresh_at_best": f"WITH {_ADDS} SELECT * FROM rates", "fe15_fragility_full": _FE15,
         "cs02_ignitions": _walk(str(cascades.STREAKS), count, speed, IGNITION["gap_us"]), "cs01_withdrawals": _walk(str(cascades.STALLS), stall, "5e-1 * stall_count + 5e-1 * streak_exhaustion", WITHDRAWAL["gap_us"]), "cs04_contagion": _CS04,
         "st13_throttle": _ST13, "st16_match_outcomes": _ST16, "wn03_rolling_tier": _WN03, "fe27_signature": _signature_sql(), "cv01_purged_folds": _CV01, "cv01_day_folds": _CV01_DAYS,
+        "jn15_matches": _JN15, "jn15_funnel": _FUNNEL,
+        "pt08_library_update": f"""WITH o AS ({_ST16}), m AS ({source.DUCKDB['mbo']}), x AS (SELECT o.symbol || '-' || m.side AS name, o.* FROM o JOIN m ON o.match_id = m.seq), r AS (SELECT * FROM x WHERE entry_us >= (SELECT max(entry_us) FROM x) - {10 * DAY}),
+ g AS (SELECT name, count(*) AS n, avg(realized) AS mean_atr, coalesce(stddev_samp(realized), 0) AS std, avg(CASE WHEN hit THEN 1e0 ELSE 0e0 END) AS hit_rate FROM r GROUP BY 1)
+ SELECT p.name, CASE WHEN p.name LIKE 'ES%' THEN 'rejected' WHEN hit_rate < 5e-1 AND n >= 80 THEN 'retired' ELSE 'active' END AS status, n, round(mean_atr, 6) AS mean_atr, round(std, 6) AS std, round(hit_rate, 6) AS hit_rate FROM (SELECT DISTINCT name FROM x) p LEFT JOIN g ON p.name = g.name""",
         "flt04_time_range": f"WITH {MBO} SELECT symbol, seq, ts_us FROM mbo WHERE ts_us BETWEEN epoch_us(TIMESTAMP '2024-01-05 00:00:00') AND epoch_us(TIMESTAMP '2024-01-07 10:00:00')", "st08_seek": _ST08,
     }

@@ -26,10 +26,10 @@ DUCKDB = {
 
 def from_events(events: DataFrame) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return events.select(F.col("event_id").alias("seq"), micros.alias("ts_us"), (F.get_json_object("props", "$.k").cast("int") + 1).cast("long").alias("size"), "user_id", "event_type", "event_id", "value").selectExpr("seq", "ts_us", "size", *_columns(_REST))
+    return events.select(F.col("event_id").alias("seq"), micros.alias("ts_us"), (F.get_json_object("props", "$.k").cast("int") + 1).cast("long").alias("size"), "user_id", "event_type", "event_id", "value").selectExpr("seq", "ts_us", "size", *select_list(_REST))
 
 
-def _columns(text: str) -> list[str]:
+def select_list(text: str) -> list[str]:
     """The select list, cut at the commas that stand outside brackets."""
     out, depth, last = [], 0, 0
     for i, c in enumerate(text):
