@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from bookloom.operators import adapter, book, cascades, engine, fragility, rolling, times, validation
 from bookloom.operators.frames import OPERATORS as FRAMES
-from bookloom.sources import library
+from bookloom.sources import library, replay
 from bookloom.sources import mbo as source
 from bookloom.streaming import folds
+from bookloom.tables import scratch_path
 
 MIN, DAY = 60_000_000, 86_400_000_000
 GRID = 600 * MIN
@@ -38,6 +39,16 @@ def bk01_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.book(_mbo(spark, sf_dir), GRID)
 
 
+def src07_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book written as a CSV file of levels, and replayed from it."""
+    path = scratch_path(spark, "levels.csv")
+    levels = bk01_book(spark, sf_dir).select("symbol", (F.col("snap") / 1000).alias("timestamp"), "side", "price", "volume", F.col("n_orders").alias("order_count"))
+    levels.write.option("header", True).csv(path)
+    placed = replay.positions(replay.snapshots(replay.read_levels(spark, path)), 100 * GRID // 1000)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["volume"])
+    return placed.select("symbol", "timestamp", "position", F.size("bids").alias("n_bids"), F.size("asks").alias("n_asks"), F.get("bids", F.lit(0))["price"].alias("bid"), F.get("asks", F.lit(0))["price"].alias("ask"), total("bids").alias("bid_volume"), total("asks").alias("ask_volume"))
+
+
 def _adds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adds at the best of the book of the grid time that shows them first, or of the one before."""
     mbo = _mbo(spark, sf_dir)
@@ -283,7 +294,7 @@ _ST08 = f"""WITH {MBO}, a AS (SELECT symbol, seq, ts_us FROM mbo WHERE action =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (bk01_book, l1_refresh_at_best, fe15_fragility_full, cs01_withdrawals, cs02_ignitions, cs04_contagion, st11_cusum, st13_throttle, st16_match_outcomes, wn03_rolling_tier, fe27_signature, cv01_purged_folds, cv01_day_folds, flt04_time_range, st08_seek, jn15_matches, jn15_funnel, pt08_library_update)
+    made = (bk01_book, l1_refresh_at_best, fe15_fragility_full, cs01_withdrawals, cs02_ignitions, cs04_contagion, st11_cusum, st13_throttle, st16_match_outcomes, wn03_rolling_tier, fe27_signature, cv01_purged_folds, cv01_day_folds, flt04_time_range, st08_seek, jn15_matches, jn15_funnel, pt08_library_update, src07_replay)
     return {f.__name__: f for f in made}
 
 
@@ -295,6 +306,8 @@ def oracle_sql() -> dict[str, str]:
         "bk01_book": f"WITH {MBO} {book.sql(GRID)}", "l1_refresh_at_best": f"WITH {_ADDS} SELECT * FROM rates", "fe15_fragility_full": _FE15,
         "cs02_ignitions": _walk(str(cascades.STREAKS), count, speed, IGNITION["gap_us"]), "cs01_withdrawals": _walk(str(cascades.STALLS), stall, "5e-1 * stall_count + 5e-1 * streak_exhaustion", WITHDRAWAL["gap_us"]), "cs04_contagion": _CS04,
         "st13_throttle": _ST13, "st16_match_outcomes": _ST16, "wn03_rolling_tier": _WN03, "fe27_signature": _signature_sql(), "cv01_purged_folds": _CV01, "cv01_day_folds": _CV01_DAYS,
+        "src07_replay": f"""WITH {MBO}, b AS ({book.sql(GRID)}) SELECT symbol, snap // 1000 AS timestamp, row_number() OVER (PARTITION BY symbol ORDER BY snap) - 1 AS position, count(*) FILTER (side = 'B') AS n_bids, count(*) FILTER (side = 'A') AS n_asks, max(price) FILTER (side = 'B') AS bid, min(price) FILTER (side = 'A') AS ask,
+ CAST(coalesce(sum(volume) FILTER (side = 'B'), 0) AS DOUBLE) AS bid_volume, CAST(coalesce(sum(volume) FILTER (side = 'A'), 0) AS DOUBLE) AS ask_volume FROM b GROUP BY symbol, snap""",
         "jn15_matches": _JN15, "jn15_funnel": _FUNNEL,
         "pt08_library_update": f"""WITH o AS ({_ST16}), m AS ({source.DUCKDB['mbo']}), x AS (SELECT o.symbol || '-' || m.side AS name, o.* FROM o JOIN m ON o.match_id = m.seq), r AS (SELECT * FROM x WHERE entry_us >= (SELECT max(entry_us) FROM x) - {10 * DAY}),
  g AS (SELECT name, count(*) AS n, avg(realized) AS mean_atr, coalesce(stddev_samp(realized), 0) AS std, avg(CASE WHEN hit THEN 1e0 ELSE 0e0 END) AS hit_rate FROM r GROUP BY 1)
