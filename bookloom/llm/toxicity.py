@@ -177,6 +177,15 @@ def skeletons(text: str, most: int = 8) -> set[str] | None:
     return {_RUN.sub(r"\1", _OTHER.sub("", r)) for r in readings}
 
 
+def _three(text: str) -> int:
+    """The first three letters in 15 bits; letters beyond a to z share five numbers."""
+    out = 0
+    for k in range(3):
+        c = text[k : k + 1]
+        out = out << 5 | (0 if not c else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 5)
+    return out
+
+
 def features(word: str) -> list[str]:
     """The word, and its beginnings of 4 to 6 letters, marked by their length."""
     return [word, *[f"{k}:{word[:k]}" for k in (4, 5, 6) if len(word) >= k]]
@@ -187,10 +196,10 @@ class Scorer:
 
     def __init__(self, restorer: Restorer, odds: dict[str, float], weights: np.ndarray | None = None):
         self.restorer, self.odds, self.weights = restorer, odds, weights
-        self.found, self.spans, self.begun, self.heads, self.starts = None, None, None, None, None
+        self.found, self.spans, self.begun, self.heads, self.parts = None, None, None, None, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"found": None, "spans": None, "begun": None, "heads": None, "starts": None}
+        return {"restorer": self.restorer, "odds": self.odds, "weights": self.weights, **dict.fromkeys(("found", "spans", "begun", "heads", "parts"))}
 
     def may(self, span: str) -> bool:
         """Can a reading of the span hold a word with odds, or its beginning?"""
@@ -206,30 +215,58 @@ class Scorer:
         read = skeletons(span)
         return read is None or any(next(self.found.iter(s), None) for s in read)
 
-    def begin(self, piece: str) -> tuple[str, ...]:
-        """The readings of a piece that a word with odds begins with."""
-        if piece.isalpha():  # most pieces: their first three letters tell
-            head = piece[:3].replace("l", "i")
-            if head not in self.parts and head[0] != head[1:2] != head[2:3]:
-                return ()
-        return tuple(r for r in self.letters[piece] if r in self.parts)
-
-    def cut(self, pieces: list[str]) -> list[str]:
-        """Stretches of two lower-case pieces or more, of any length and with signs in them, whose letters are those of a word with odds."""
-        if self.starts is None:
+    @staticmethod
+    def reading(piece: str) -> tuple[str, ...]:
+        if piece.isalpha():
+            read = piece.replace("l", "i")
+            return (_RUN.sub(r"\1", read) if _REPEATED.search(read) else read,)
+        return tuple(skeletons(piece, 64) or ()) if sum(map(piece.count, MAYBE)) < 12 else ()
+
+    def begin(self, piece: str) -> int:
+        """How a piece begins a word with odds (the number of that beginning, 0: not, 1: several readings) and, in the last
+        15 bits, its first three letters (0: any)."""
+        read = self.reading(piece)
+        if len(read) != 1 or not read[0]:
+            return any(r in self.parts for r in read) << 15
+        return self.parts.get(read[0], 0) << 15 | _three(read[0])
+
+    def cut(self, pieces: list[str]) -> set[str]:
+        """Stretches of two lower-case pieces or more, of any length and with signs in them, whose letters are those of a word with odds.
+
+        Most pieces begin no word, or are followed by letters that no word goes on with: these are told for all at once.
+        """
+        if self.parts is None:
             self.whole = {_RUN.sub(r"\1", f.translate(_READ)) for f in self.odds if f.isalpha()}
-            self.parts = {f[:k] for f in self.whole for k in range(1, len(f) + 1)}
-            self.letters = Cache(lambda x: tuple(skeletons(x, 64) or ()) if sum(map(x.count, MAYBE)) < 12 else (), 100_000)
-            self.starts = Cache(self.begin, 200_000)
-        out = []
-        for i in [i for i, x in enumerate(map(self.starts.__getitem__, pieces)) if x]:
-            heads = set(self.starts[pieces[i]])
+            parts = self.parts = {x: i for i, x in enumerate(sorted({f[:k] for f in self.whole for k in range(1, len(f) + 1)}), 2)}
+            goes = set()
+            for x in parts:
+                for k in range(0, min(3, len(x) - 1) + 1):
+                    h, rest = x[: len(x) - k], x[len(x) - k :]
+                    if rest:
+                        goes.add(parts[h] << 15 | _three(rest))
+                    if k < 3:  # a letter that ends one piece and begins the next is one
+                        goes.add(parts[h] << 15 | _three(h[-1] + rest))
+            self.goes = np.array(sorted(goes) or [-1], np.int64)
+            self.letters, self.starts = Cache(self.reading, 100_000), Cache(self.begin, 400_000)
+        out: set[str] = set()
+        if len(pieces) < 2 or not self.whole:
+            return out
+        codes = np.fromiter(map(self.starts.__getitem__, pieces), np.int64, len(pieces))
+        at = np.flatnonzero(codes[:-1] >> 15)
+        then = codes[at + 1] & 32767
+        keys = codes[at] & -32768 | then
+        found = self.goes[np.minimum(np.searchsorted(self.goes, keys), len(self.goes) - 1)] == keys
+        for i in at[found | (codes[at] >> 15 == 1) | (then == 0)].tolist():
+            one, two = self.letters[pieces[i]], self.letters[pieces[i + 1]]
+            if len(one) == len(two) == 1 and one[0] + two[0][two[0][:1] == one[0][-1] :] not in self.parts:
+                continue  # most that are left
+            heads = {x for x in one if x in self.parts}
             for j in range(i + 1, len(pieces)):
-                heads = {x + y[y[:1] == x[-1] :] for x in heads for y in self.letters[pieces[j]]} & self.parts
+                heads = {z for x in heads for y in self.letters[pieces[j]] or ("",) if (z := x + y[y[:1] == x[-1] :]) in self.parts}
                 if not heads:
                     break
-                if heads & self.whole:
-                    out.append(" ".join(pieces[i : j + 1]))
+                if not self.whole.isdisjoint(heads):
+                    out.add(" ".join(pieces[i : j + 1]))
         return out
 
     def word(self, w: str) -> float:
