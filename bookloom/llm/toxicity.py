@@ -3,7 +3,7 @@
 1. A character trigram model is counted over all texts (one vector of fixed size for each task is summed).
 2. Words with digits or marks in the place of letters, with letters repeated, or spelled out in pieces of one or two
    characters with anything between them become a lattice of readings; a Viterbi search under the model restores the
-   likeliest text.  So do neighbouring pieces of any length whose letters are those of a word with odds.
+   likeliest text.  So do neighbouring pieces of any length that are a word with odds cut in two or three.
 3. Restored words and their beginnings get log odds from a bounded sample of labelled rows; the largest odds in a
    text and how many words have any are weighed by a logistic regression, fitted with the odds of the other half.
 4. All texts are restored and scored.  A span is restored only if its letters, with repeats left out and each sign that may
@@ -16,6 +16,7 @@ any length are restored, those over `CACHED` characters anew each time; other co
 
 from __future__ import annotations
 
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -46,6 +47,9 @@ _REPEATED = re.compile(r"([^\W\d_])\1")
 _DISGUISED = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]", re.S)
 _RUN = re.compile(r"(.)\1+", re.S)
 _OTHER = re.compile(r"[\W\d_]+")
+#: A sign beside a letter, of those that are always read.
+_SURE = "[" + re.escape("".join(c for c in READINGS if c not in MAYBE)) + "]"
+_SIGN = re.compile(f"(?<=[a-z]){_SURE}|{_SURE}(?=[a-z])")
 # Signs by the letter that they stand for; i and l are one, as some signs stand for both.
 _READ = {ord(k): ("i" if "l" in v else v) for k, v in READINGS.items()} | {ord("l"): "i"}
 _LEFT = {k: v for k, v in _READ.items() if chr(k) not in MAYBE}
@@ -168,6 +172,8 @@ def skeletons(text: str, most: int = 8) -> set[str] | None:
     """The letters that a lower-case text can be read as, without repeats: each sign that may be left out is read or left
     out, whatever the others are.  None: more than `most` such signs, so that its reading has to be looked at anyway."""
     signs = sum(map(text.count, MAYBE))
+    if not signs:
+        return {_RUN.sub(r"\1", _OTHER.sub("", text.translate(_READ)))}
     if signs > most:
         return None
     readings = [text.translate(_LEFT)]
@@ -177,15 +183,6 @@ def skeletons(text: str, most: int = 8) -> set[str] | None:
     return {_RUN.sub(r"\1", _OTHER.sub("", r)) for r in readings}
 
 
-def _three(text: str) -> int:
-    """The first three letters in 15 bits; letters beyond a to z share five numbers."""
-    out = 0
-    for k in range(3):
-        c = text[k : k + 1]
-        out = out << 5 | (0 if not c else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 5)
-    return out
-
-
 def features(word: str) -> list[str]:
     """The word, and its beginnings of 4 to 6 letters, marked by their length."""
     return [word, *[f"{k}:{word[:k]}" for k in (4, 5, 6) if len(word) >= k]]
@@ -196,10 +193,10 @@ class Scorer:
 
     def __init__(self, restorer: Restorer, odds: dict[str, float], weights: np.ndarray | None = None):
         self.restorer, self.odds, self.weights = restorer, odds, weights
-        self.found, self.spans, self.begun, self.heads, self.parts = None, None, None, None, None
+        self.found, self.spans, self.begun, self.heads, self.whole, self.read, self.parts = None, None, None, None, None, None, None
 
     def __getstate__(self) -> dict:
-        return {"restorer": self.restorer, "odds": self.odds, "weights": self.weights, **dict.fromkeys(("found", "spans", "begun", "heads", "parts"))}
+        return {"restorer": self.restorer, "odds": self.odds, "weights": self.weights, **dict.fromkeys(("found", "spans", "begun", "heads", "whole", "read", "parts"))}
 
     def may(self, span: str) -> bool:
         """Can a reading of the span hold a word with odds, or its beginning?"""
@@ -215,58 +212,30 @@ class Scorer:
         read = skeletons(span)
         return read is None or any(next(self.found.iter(s), None) for s in read)
 
-    @staticmethod
-    def reading(piece: str) -> tuple[str, ...]:
-        if piece.isalpha():
-            read = piece.replace("l", "i")
-            return (_RUN.sub(r"\1", read) if _REPEATED.search(read) else read,)
-        return tuple(skeletons(piece, 64) or ()) if sum(map(piece.count, MAYBE)) < 12 else ()
-
-    def begin(self, piece: str) -> int:
-        """How a piece begins a word with odds (the number of that beginning, 0: not, 1: several readings) and, in the last
-        15 bits, its first three letters (0: any)."""
-        read = self.reading(piece)
-        if len(read) != 1 or not read[0]:
-            return any(r in self.parts for r in read) << 15
-        return self.parts.get(read[0], 0) << 15 | _three(read[0])
-
     def cut(self, pieces: list[str]) -> set[str]:
-        """Stretches of two lower-case pieces or more, of any length and with signs in them, whose letters are those of a word with odds.
-
-        Most pieces begin no word, or are followed by letters that no word goes on with: these are told for all at once.
-        """
-        if self.parts is None:
-            self.whole = {_RUN.sub(r"\1", f.translate(_READ)) for f in self.odds if f.isalpha()}
-            parts = self.parts = {x: i for i, x in enumerate(sorted({f[:k] for f in self.whole for k in range(1, len(f) + 1)}), 2)}
-            goes = set()
-            for x in parts:
-                for k in range(0, min(3, len(x) - 1) + 1):
-                    h, rest = x[: len(x) - k], x[len(x) - k :]
-                    if rest:
-                        goes.add(parts[h] << 15 | _three(rest))
-                    if k < 3:  # a letter that ends one piece and begins the next is one
-                        goes.add(parts[h] << 15 | _three(h[-1] + rest))
-            self.goes = np.array(sorted(goes) or [-1], np.int64)
-            self.letters, self.starts = Cache(self.reading, 100_000), Cache(self.begin, 400_000)
+        """Stretches of two or three lower-case pieces of any length that are a word with odds cut up, with signs in the place of
+        letters too (of the signs that may be left out, three at most).  Words in more pieces are spelled out, and found as such."""
+        if self.whole is None:
+            words = {f for f in self.odds if f.isalpha()}
+            self.whole = words | {x[:k] + x[k - 1 :] for x in words for k in range(1, len(x) + 1)}
+            self.read = {_RUN.sub(r"\1", x.translate(_READ)) for x in words}
+            self.parts = {x[:k] for x in self.whole for k in range(2, len(x) + 1)}
         out: set[str] = set()
-        if len(pieces) < 2 or not self.whole:
-            return out
-        codes = np.fromiter(map(self.starts.__getitem__, pieces), np.int64, len(pieces))
-        at = np.flatnonzero(codes[:-1] >> 15)
-        then = codes[at + 1] & 32767
-        keys = codes[at] & -32768 | then
-        found = self.goes[np.minimum(np.searchsorted(self.goes, keys), len(self.goes) - 1)] == keys
-        for i in at[found | (codes[at] >> 15 == 1) | (then == 0)].tolist():
-            one, two = self.letters[pieces[i]], self.letters[pieces[i + 1]]
-            if len(one) == len(two) == 1 and one[0] + two[0][two[0][:1] == one[0][-1] :] not in self.parts:
-                continue  # most that are left
-            heads = {x for x in one if x in self.parts}
-            for j in range(i + 1, len(pieces)):
-                heads = {z for x in heads for y in self.letters[pieces[j]] or ("",) if (z := x + y[y[:1] == x[-1] :]) in self.parts}
-                if not heads:
-                    break
-                if not self.whole.isdisjoint(heads):
-                    out.add(" ".join(pieces[i : j + 1]))
+        sums = list(map(operator.add, pieces, pieces[1:]))  # all neighbours of a text at once
+        hits = self.parts.intersection(sums)
+        for i in [i for i, x in enumerate(sums) if x in hits] if hits else ():
+            for n in (2, 3):
+                if "".join(pieces[i : i + n]) in self.whole:
+                    out.add(" ".join(pieces[i : i + n]))
+        joined = " ".join(pieces)
+        i = begin = 0
+        for m in _SIGN.finditer(joined):
+            i, begin = i + joined.count(" ", begin, m.start()), m.start()
+            for n in (2, 3):
+                for k in range(max(0, i - n + 1), min(i, len(pieces) - n) + 1):
+                    stretch = " ".join(pieces[k : k + n])
+                    if len(stretch) < 64 and stretch not in out and not self.read.isdisjoint(skeletons(stretch, 3) or ()):
+                        out.add(stretch)
         return out
 
     def word(self, w: str) -> float:
