@@ -208,8 +208,9 @@ def bootstrap_gain(scores: DataFrame, rounds: int = 1000, seed: int = 7, least:
 
     def f(g: pd.DataFrame) -> Iterator[tuple]:
         d = ((g["base"] - g["y"]) ** 2 - (g["model"] - g["y"]) ** 2).to_numpy()
-        draws = np.random.default_rng(seed).integers(0, len(d), (rounds, len(d)))
-        lo, hi = np.percentile(d[draws].mean(1), [2.5, 97.5])
+        rng, some = np.random.default_rng(seed), max(1, 1_000_000 // len(d))  # rounds at once: the draws are those of one call, a few MB at a time
+        means = np.concatenate([d[rng.integers(0, len(d), (min(some, rounds - i), len(d)))].mean(1) for i in range(0, rounds, some)])
+        lo, hi = np.percentile(means, [2.5, 97.5])
         yield float(d.mean()), float(lo), float(hi), bool(d.mean() >= least and lo > 0)
 
     return by_session(scores, f, "gain double, low double, high double, passes boolean")
