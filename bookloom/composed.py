@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bookloom.operators import adapter, book, cascades, engine, fragility, rolling, times, validation
 from bookloom.operators.frames import OPERATORS as FRAMES
+from bookloom.operators.frames import match_outcomes
 from bookloom.sources import library, replay
 from bookloom.sources import mbo as source
 from bookloom.streaming import folds
@@ -150,7 +151,7 @@ def st16_match_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every quote of a large order is a match, whose side tells its direction."""
     sides = _mbo(spark, sf_dir).where("size >= 60").selectExpr("symbol", "seq", "seq AS match_id", "CASE side WHEN 'B' THEN 'bull' ELSE 'bear' END AS direction")
     rows = _quotes(spark, sf_dir).join(sides, ["symbol", "seq"], "left")
-    return folds.on_table(rows, folds.outcomes(HORIZON)).drop("session")
+    return match_outcomes(rows, HORIZON)
 
 
 _ST13 = f"""WITH RECURSIVE {QUOTES}, f AS (SELECT symbol, ts_us, seq FROM quotes QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts_us, seq) >= 5),
