@@ -14,7 +14,7 @@ from bookloom.operators.frames import match_outcomes
 from bookloom.sources import library, replay
 from bookloom.sources import mbo as source
 from bookloom.streaming import folds
-from bookloom.tables import scratch_path
+from bookloom.tables import scratch_path, written
 
 MIN, DAY = 60_000_000, 86_400_000_000
 GRID = 600 * MIN
@@ -262,6 +262,7 @@ _FUNNEL = f"{_SCORED} SELECT window_id, count(*) AS templates, count(*) FILTER (
 def pt08_library_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns by symbol and direction, with the figures of their matches of the last ten days."""
     outcomes = st16_match_outcomes(spark, sf_dir).join(_mbo(spark, sf_dir).select(F.col("seq").alias("match_id"), "side"), "match_id").withColumn("pattern_id", F.concat("symbol", F.lit("-"), "side"))
+    outcomes = written(outcomes, "outcomes")  # read for the names, for the last entry and for the figures
     names = outcomes.select(F.col("pattern_id").alias("name")).distinct()
     blank = F.lit(None).cast("string")
     outcomes_of = F.lit(None).cast("map<string, struct<mean_atr: double, std: double, hit_rate: double, n: long>>")
