@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bookloom import composed
-from bookloom.operators import adapter, barriers, books, dense, features, frames, halo, matches, models, queues, research, scans, spans, stateful
+from bookloom.operators import adapter, barriers, books, dense, features, frames, halo, layering, matches, models, queues, research, scans, spans, stateful
 from bookloom.sources import mbo as source
 
 OPERATORS = {o.name: o for o in (*scans.OPERATORS, *features.OPERATORS, *books.OPERATORS, *research.OPERATORS)}
@@ -78,7 +78,7 @@ def _framed() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    by_frames = {**frames.OPERATORS, **spans.OPERATORS, "lb01_triple_barrier": barriers.triple_barrier, "lb02_excursions": barriers.excursions}
+    by_frames = {**frames.OPERATORS, **spans.OPERATORS, **layering.OPERATORS, "lb01_triple_barrier": barriers.triple_barrier, "lb02_excursions": barriers.excursions}
     return {name: halo.query(OPERATORS[name], h) for name, h in halo.HALOS.items()} | {name: on(name, f) for name, f in by_frames.items()}
 
 
