@@ -67,4 +67,4 @@ def _rest(mbo: DataFrame, quotes: DataFrame, op: Operator, **params: float) -> D
 
 
 _STATEMENTS = {o.name: o for o in books.OPERATORS}
-OPERATORS = {"sd05_authenticity": authenticity}
+OPERATORS = {"sd02_layering": layering, "sd05_authenticity": authenticity}
