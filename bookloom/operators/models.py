@@ -16,6 +16,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bookloom.tables import written
+
 COLUMNS = ["spread", "imbalance", "depth", "move"]
 
 
@@ -30,10 +32,11 @@ def features(quotes: DataFrame, ahead: int = 5) -> DataFrame:
 
 
 def _auc(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Area under the curve from average ranks of p."""
-    w = Window.partitionBy(*keys)
-    r = scored.withColumn("place", F.rank().over(w.orderBy("p")) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "p")) - 1) / 2)
-    g = r.groupBy(*keys).agg(F.sum(F.col("place") * F.col("y")).alias("s"), F.sum("y").alias("n1"), F.count(F.lit(1)).alias("n"))
+    """Area under the curve from average ranks of p; rows of one p are counted before they are ranked."""
+    counts = scored.groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("c1"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = counts.withColumn("place", before + (F.col("c") + 1) / 2)
+    g = r.groupBy(*keys).agg(F.sum(F.col("place") * F.col("c1")).alias("s"), F.sum("c1").alias("n1"), F.sum("c").alias("n"))
     n0 = F.col("n") - F.col("n1")
     return g.select(*keys, "n", F.when((F.col("n1") > 0) & (n0 > 0), (F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * n0)).alias("auc"))
 
@@ -50,14 +53,14 @@ def learned_regime(quotes: DataFrame, window: int = 30) -> DataFrame:
 
 def fold_scores(quotes: DataFrame, embargo_us: int = 0, depth: int = 3, trees: int = 10) -> DataFrame:
     """Out-of-fold p of a boosted model for each of five folds in time, trained on rows further than the embargo from its span."""
-    f = features(quotes)
+    f = written(features(quotes), "features")  # every pass of every fold reads it
     spans = f.groupBy("fold").agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")).orderBy("fold").collect()
     out = []
     for fold, lo, hi in spans:
         train = f.where((F.col("fold") != fold) & ((F.col("ts_us") < lo - embargo_us) | (F.col("ts_us") > hi + embargo_us) | F.lit(embargo_us <= 0)))
         model = GBTClassifier(featuresCol="x", labelCol="y", maxDepth=depth, maxIter=trees, seed=7).fit(train)
         out.append(model.transform(f.where(F.col("fold") == fold)).select("symbol", "seq", "fold", "x", "y", vector_to_array("probability")[1].alias("p")))
-    return reduce(DataFrame.unionByName, out)
+    return written(reduce(DataFrame.unionByName, out), "scores")
 
 
 def fold_auc(quotes: DataFrame) -> DataFrame:
