@@ -34,13 +34,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from bookloom.llm.common import mix, scratch_path, sum_vectors, text_slices
-from bookloom.llm.vocab import locate, once, release
+from bookloom.llm.vocab import Cache, byte_symbols, locate, once, release
 
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 _MARKS = r"[!-&(-/:-@\[-`{-~]"  # all of ASCII but the apostrophe, which can begin a piece of its own
-_PLAIN = re.compile(f"{_LETTERS}++|{_MARKS}++")
-#: A span of letters and closing marks gives two pieces, any other span is one.
-_PIECES = re.compile(rf"{_LETTERS}++(?={_MARKS}*+(?:[ \t-\r]|\Z))|(?<={_LETTERS}){_MARKS}++(?=[ \t-\r]|\Z)|[^ \t-\r]++")
+#: A span of letters, marks or letters and closing marks: a piece or two.
+_PLAIN = re.compile(f"({_LETTERS}*+)({_MARKS}*+)")
+#: A comma or stop before a blank is a piece of its own but after these.
+_TIED = re.compile("[^a-zà-öø-ÿ0-9 ][,.] ")
 _WIDE = re.compile("[^\x00-\xff\u2010-\u2027]")
 _U = np.uint64
 
@@ -59,11 +60,11 @@ class Packing:
 
 
 class Encoder:
-    """Identifiers of a text as 16-bit numbers, by the library for pieces not seen lately.
+    """Identifiers of a text as 16-bit numbers, by the library for spans between white space not seen lately.
 
-    Letters and closing marks are pieces by themselves; any other span goes to the library as it is.  A text is put in
-    lower case first where that changes nothing but plain letters.  New plain pieces are joined by spaces for one call;
-    each ends where a symbol with the word end is.
+    A text is put in lower case first where that changes nothing but plain letters.  A new span of letters, of marks or of
+    letters and closing marks goes to the library's model at once: normalising would leave it as it is but for case,
+    splitting gives these pieces, and the model takes bytes as their symbols.  Any other span goes to the library whole.
     """
 
     def __init__(self, tokenizer: str, most_words: int = 300_000, longest: int = 40):
@@ -74,36 +75,34 @@ class Encoder:
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("identifiers must fit 16 bits")
         self.encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        self.ends = np.zeros(1 << 16, bool)
-        self.ends[[i for s, i in self.library.get_vocab(False).items() if s.endswith("</w>")]] = True
-        self.most_words, self.longest = most_words, longest
-        self.words: dict[str, bytes] = {}
-
-    def _each(self, spans: list[str]) -> list[bytes]:
-        return [array("H", x.ids).tobytes() for x in self.encode(spans, add_special_tokens=False)]
-
-    def _learn(self, words: list[str], step: int = 256) -> None:
-        groups = [words[i : i + step] for i in range(0, len(words), step)]
-        for group in groups:
-            ids = np.array(self.encode([" ".join(group)], add_special_tokens=False)[0].ids, np.uint16)
-            to = ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist()
-            raw = ids.tobytes()
-            self.words.update(zip(group, [raw[i:j] for i, j in zip([0, *to], to)] if len(to) == len(group) else self._each(group)))
+        self.split, self.symbols = self.library.model.tokenize, byte_symbols()
+        self.words = Cache(self._span, most_words, longest)
+
+    def _piece(self, piece: str) -> bytes:
+        low = piece.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self.symbols)
+        return array("H", [x.id for x in self.split(low)]).tobytes()
+
+    def _span(self, span: bytes) -> bytes:
+        if span.isalpha():  # letters of ASCII alone
+            return array("H", [x.id for x in self.split(span.lower().decode())]).tobytes()
+        text = span.decode()
+        if not (plain := _PLAIN.fullmatch(text)):
+            return array("H", self.encode([text], add_special_tokens=False)[0].ids).tobytes()
+        letters, marks = plain.groups()
+        if not letters or not marks:
+            return self._piece(text)
+        return (self.words.get(letters.encode()) or self._piece(letters)) + self.words[marks.encode()]
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        lower = [t.lower() if "<|" not in t and (t.isascii() or not _WIDE.search(t)) else t for t in texts]
-        pieces = [_PIECES.findall(t) for t in lower]
-        if len(self.words) > self.most_words:
-            self.words = {}
-        new = set().union(*pieces).difference(self.words)
-        plain = [w for w in new if _PLAIN.fullmatch(w)]
-        odd = list(new.difference(plain))
-        self._learn(plain)
-        self.words.update(zip(odd, self._each(odd)))
-        out = [b"".join(map(self.words.__getitem__, p)) for p in pieces]
-        for w in new:
-            if len(w) > self.longest:
-                del self.words[w]
+        out = []
+        for t in texts:
+            if "<|" not in t and (t.isascii() or not _WIDE.search(t)):
+                t = t.lower()
+            if not _TIED.search(t):
+                t = t.replace(", ", " , ").replace(". ", " . ")
+            out.append(b"".join(map(self.words.__getitem__, t.encode().split())))
         return out
 
 

@@ -107,6 +107,21 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_spans_of_the_encoder():
+    """Pieces that go to the model at once, beside the library over whole texts; a new word costs no pass of the normaliser."""
+    rng = np.random.default_rng(4)
+    parts = ["ab", "Éa", "ÿß", "÷", "x", "7", "'s", "'", ",", ".", "!,", "), ", ". ", ", ", ".. ", " ", "\n", "\x1f", "\xa0", "é", "<|", "|>", "İ", "漢", "e\u0301", "ºª", "_", "-"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), 30)) for _ in range(400)] + ["", " , . ", "a, b. c., d", "<|endoftext|>, Ab. C"]
+    encoder = packing.Encoder("word_bpe_49k.json", most_words=50)
+    got = [np.frombuffer(x, "<u2").tolist() for x in encoder.texts(texts)]
+    assert got == [x.ids for x in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    seen = []
+    encoder = packing.Encoder("word_bpe_49k.json")
+    encoder.encode = lambda spans, **how: seen.extend(spans) or encoder.library.encode_batch(spans, **how)
+    encoder.texts(["Words, éàü. more (words) don't"])
+    assert seen == ["(words)", "don't"]
+
+
 def test_warc(spark):
     big = "<p>" + "y" * 1500
     rows = [(1, "http://a/\r\nb", big), (2, "http://a", big), (3, None, "small"), (4, "u", "small"), (5, "v", None), (None, "w", big), (2, "http://a", big), (7, "x", "WARC/1.1\r\n\r\n" * 200)]
