@@ -43,7 +43,7 @@ _ODD = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 
 @dataclass(frozen=True)
 class Near:
-    """Words of a shingle, similarity, share of texts above which a shingle counts as common, least idf, agreement, nodes of a part of a hot band, of a small band or shingle, of a block, frequent prefix shingles up to which a node carries their list."""
+    """Words of a shingle, similarity, share of texts above which a shingle counts as common, least idf, agreement, nodes of a part of a hot band, of a small band or shingle, of a block, frequent prefix shingles up to which a node carries their list, sums of a node's frequent weights."""
 
     words: int = 5
     similarity: float = 0.8
@@ -54,6 +54,7 @@ class Near:
     small: int = 16
     block: int = 1000
     listed: int = 256
+    sums: int = 256
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
@@ -238,6 +239,23 @@ class Texts:
         return materialise(met.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
 
 
+def frequent_sums(frequent: DataFrame, how: Near) -> DataFrame:
+    """node and the sums v (32-bit) of the weights of its shingles (node, h, w), dealt by their hash to `sums` places.
+
+    The lesser of two nodes' sums, added over all places, is at least what they share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            owner = np.repeat(np.arange(x.num_rows), pc.list_value_length(x.column("hs")).to_numpy(zero_copy_only=False).astype(np.int64))
+            place = (mix(pc.list_flatten(x.column("hs")).to_numpy(zero_copy_only=False).view(_U)) % _U(how.sums)).astype(np.int64)
+            total = np.bincount(owner * how.sums + place, pc.list_flatten(x.column("ws")).to_numpy(zero_copy_only=False), x.num_rows * how.sums).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([x.column("node"), pa.array([v.tobytes() for v in total.reshape(-1, how.sums)], pa.binary())], ["node", "v"])
+
+    each = frequent.groupBy("node").agg(F.collect_list(F.struct("h", "w")).alias("x")).select("node", F.col("x.h").alias("hs"), F.col("x.w").alias("ws"))
+    return materialise(each.mapInArrow(run, "node long, v binary"), "sums")
+
+
 def missed(hot: DataFrame, source: Texts, weights: Weights, how: Near) -> DataFrame:
     """hot: node, label (its class so far), sketch.  Candidates (a, b) that connect all nodes of similarity enough.
 
@@ -247,6 +265,7 @@ def missed(hot: DataFrame, source: Texts, weights: Weights, how: Near) -> DataFr
     overlap o the similarity of x and y is o / (w(x) + w(y) - o), and of the nodes with the same frequent shingles as y, the
     lightest, v, is at least as similar to x; with u the lightest for x, so are u and v, and u and y: x - v - u - y is a
     chain.  So nodes are compared with the lightest ones only, in blocks of those with a frequent prefix shingle in common.
+    A pair is passed on where the bound by sums of frequent weights lets it be similar enough: few others are verified.
     """
     texts = source.of(hot.select("node"), hot.count())
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("h", T.LongType()), T.StructField("w", T.DoubleType())])
@@ -264,6 +283,8 @@ def missed(hot: DataFrame, source: Texts, weights: Weights, how: Near) -> DataFr
     ahead = own.orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
     ranked = tokens.join(shared, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     ranked = ranked.withColumns({"total": F.sum("w").over(own), "part": F.sum(F.when(often, F.col("w")).otherwise(0.0)).over(own), "set": F.bit_xor(F.when(often, F.xxhash64("h", "w"))).over(own), "before": F.coalesce(F.sum("w").over(ahead), F.lit(0.0))})
+    ranked = materialise(ranked, "ranked")
+    sums = frequent_sums(ranked.where(often), how)
     prefix = materialise(ranked.where((F.col("before") <= (1 - how.similarity + 1e-9) * F.col("total")) & (F.col("df") > 1)).select("node", "h", often.alias("often"), "total", "part", "set"), "prefix")
 
     rare = prefix.where("not often").join(hot.select("node", "label"), "node").select("h", "node", "label")
@@ -276,7 +297,7 @@ def missed(hot: DataFrame, source: Texts, weights: Weights, how: Near) -> DataFr
     salts = 8
 
     def blocks(rows: DataFrame, side: str) -> DataFrame:
-        """h and the nodes, labels, weights (all, of frequent shingles), sketches and prefix lists (values, lengths) of up to `block` of its rows."""
+        """h and the nodes, labels, weights (all, of frequent shingles), sketches, prefix lists (values, lengths) and sums of up to `block` of its rows."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
@@ -288,29 +309,33 @@ def missed(hot: DataFrame, source: Texts, weights: Weights, how: Near) -> DataFr
                         columns = [np.ascontiguousarray(y.column(c).to_numpy()) for c in ("node", "label", "total", "part")]
                         sketch = np.stack([y.column(c).to_numpy() for c in _SKETCH], 1)
                         lists = [pc.list_flatten(y.column("hs")).to_numpy(zero_copy_only=False).astype(np.int64), pc.fill_null(pc.list_value_length(y.column("hs")), 0).to_numpy(zero_copy_only=False).astype(np.int64)]
-                        yield pa.RecordBatch.from_arrays([pa.array([h[begin]]), *[pa.array([z.tobytes()], pa.binary()) for z in (*columns, sketch, *lists)]], ["h", *[f"{side}{i}" for i in range(7)]])
+                        held = [z.tobytes() for z in (*columns, sketch, *lists)] + [b"".join(y.column("v").to_pylist())]
+                        yield pa.RecordBatch.from_arrays([pa.array([h[begin]]), *[pa.array([z], pa.binary()) for z in held]], ["h", *[f"{side}{i}" for i in range(8)]])
 
-        dealt = rows.join(hot, "node").join(lists, "node", "left").select("h", "label", "node", "total", "part", *_SKETCH, "hs").repartition("h", F.pmod(F.xxhash64("label", "node"), F.lit(salts))).sortWithinPartitions("h", "label", "node")
-        return materialise(dealt.mapInArrow(run, "h long, " + ", ".join(f"{side}{i} binary" for i in range(7))), "blocks")
+        dealt = rows.join(hot, "node").join(sums, "node").join(lists, "node", "left").select("h", "label", "node", "total", "part", *_SKETCH, "hs", "v").repartition("h", F.pmod(F.xxhash64("label", "node"), F.lit(salts))).sortWithinPartitions("h", "label", "node")
+        return materialise(dealt.mapInArrow(run, "h long, " + ", ".join(f"{side}{i} binary" for i in range(8))), "blocks")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for row in x.to_pylist():
-                (a, la, wa, pa_, sa, va, na), (b, lb, wb, pb, sb, vb, nb) = ([np.frombuffer(row[f"{side}{i}"], np.float64 if i in (2, 3) else np.int64) for i in range(7)] for side in "xy")
-                if la[0] == lb[0] and (la == la[0]).all() and (lb == lb[0]).all():
-                    continue
-                sa, sb = sa.view(np.uint8).reshape(len(a), -1), sb.view(np.uint8).reshape(len(b), -1)
-                ends_a, ends_b = np.cumsum(na), np.cumsum(nb)
-                for i in range(len(a)):
-                    # what two nodes share of frequent shingles is at most the lesser of what they have of them
-                    fits = np.flatnonzero((lb != la[i]) & (np.minimum(pa_[i], pb) * (1 + how.similarity) >= (how.similarity - 1e-9) * (wa[i] + wb)))
-                    fits = fits[(sb[fits] == sa[i]).sum(1) >= how.least_agree]
-                    # A pair that meets at several shingles is passed on at the least of them; nodes with very many carry no list.
-                    if len(fits) and na[i]:
-                        own = frozenset(va[ends_a[i] - na[i] : ends_a[i]].tolist())
-                        fits = fits[[not nb[j] or min(own.intersection(vb[ends_b[j] - nb[j] : ends_b[j]].tolist())) == row["h"] for j in fits]]
-                    if len(fits):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[fits])), pa.array(np.maximum(a[i], b[fits]))], ["a", "b"])
+        for row in (row for x in batches for at in range(x.num_rows) for row in x.slice(at, 1).to_pylist()):
+            (a, la, wa, pa_, sa, va, na, ta), (b, lb, wb, pb, sb, vb, nb, tb) = ([np.frombuffer(row[f"{side}{i}"], {2: np.float64, 3: np.float64, 7: np.float32}.get(i, np.int64)) for i in range(8)] for side in "xy")
+            if la[0] == lb[0] and (la == la[0]).all() and (lb == lb[0]).all():
+                continue
+            sa, sb = sa.view(np.uint8).reshape(len(a), -1), sb.view(np.uint8).reshape(len(b), -1)
+            ta, tb = ta.reshape(len(a), -1), tb.reshape(len(b), -1)
+            ends_a, ends_b = np.cumsum(na), np.cumsum(nb)
+            for i in range(len(a)):
+                # what two nodes share of frequent shingles is at most the lesser of what they have of them
+                fits = np.flatnonzero((lb != la[i]) & (np.minimum(pa_[i], pb) * (1 + how.similarity) >= (how.similarity - 1e-9) * (wa[i] + wb)))
+                fits = fits[(sb[fits] == sa[i]).sum(1) >= how.least_agree]
+                if len(fits):
+                    shared = np.minimum(ta[i], tb[fits]).sum(1, dtype=np.float64)
+                    fits = fits[shared * (1 + how.similarity) >= (how.similarity - 1e-5) * (wa[i] + wb[fits])]
+                # A pair that meets at several shingles is passed on at the least of them; nodes with very many carry no list.
+                if len(fits) and na[i]:
+                    own = frozenset(va[ends_a[i] - na[i] : ends_a[i]].tolist())
+                    fits = fits[[not nb[j] or min(own.intersection(vb[ends_b[j] - nb[j] : ends_b[j]].tolist())) == row["h"] for j in fits]]
+                if len(fits):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[fits])), pa.array(np.maximum(a[i], b[fits]))], ["a", "b"])
 
     members = blocks(heavy, "x").withColumn("salt", F.pmod(F.xxhash64("x0"), F.lit(salts)))
     stars = blocks(heavy.join(lightest, "node", "left_semi"), "y").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
@@ -333,7 +358,9 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
 
 def verified(pairs: DataFrame, source: Texts, weights: Weights, how: Near) -> DataFrame:
     """a, b, similarity of the pairs at or above the threshold, by their whole texts."""
-    texts = source.of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * pairs.count())
+    # written once: the nodes are read for the bit map and again for the texts
+    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    texts = source.of(asked, asked.count())
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     schema = T.StructType([*pairs.schema.fields, T.StructField("similarity", T.DoubleType())])
 

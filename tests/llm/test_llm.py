@@ -180,6 +180,19 @@ def test_near_dedup_of_hot_bands(spark):
     assert got == {i: i - i % 2 if i < 160 else i for i in range(len(texts))}
 
 
+def test_few_false_pairs_of_hot_bands(spark, monkeypatch):
+    """Texts that differ in four of twelve words or more, a similarity of 132 / 172 at most: the sketches pass thousands of pairs, hardly one is verified."""
+    counts, codes = [], []
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, name, make=near_dedup.materialise: (out := make(df, name), counts.append(out.count()) if name == "missed" else None)[0])
+    for c in range(1 << 12):
+        if all((c ^ d).bit_count() >= 4 for d in codes):
+            codes.append(c)
+    texts = [" ".join(f"v{j}x{c >> j & 1}" if i == 6 else f"w{j}x{i}" for j in range(12) for i in range(13)) for c in codes]
+    got = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)).collect()
+    assert len(codes) == 128 and all(r["class_id"] == r["doc_id"] for r in got)
+    assert len(counts) == 1 and counts[0] <= 2 * len(codes), counts
+
+
 def test_frequencies_of_long_texts(spark):
     """A slice holds few long texts, and one of over 1 MB is alone in its slice; all are counted."""
     phrase = "five words that are common"
