@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+_give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc: numpy's and Python's freed memory
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +71,8 @@ def trim() -> None:
     _powers.clear()
     for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
         pool.release_unused()
+    if _give_back:
+        _give_back(0)
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -109,11 +109,21 @@ def common_shingles(docs: DataFrame, how: Near) -> Weights:
 
     def shortlist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for s in text_slices(batches, limit=2 << 20):
-            _, what, _, n, _ = shingles(s.column("text"), how.words)
-            found, count = np.unique(what, return_counts=True)
+        held, n = [], 0
+
+        def counted() -> pa.RecordBatch:
+            found, count = np.unique(np.concatenate(held), return_counts=True)
             often = count > lossy * how.common * n
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(count[often])], ["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(count[often])], ["h", "n"])
+
+        for s in text_slices(batches):
+            _, what, _, m, _ = shingles(s.column("text"), how.words)
+            held, n = [*held, what], n + m
+            if len(held) == 2:  # hashed one by one, which needs half the memory, and counted together
+                yield counted()
+                held, n = [], 0
+        if held:
+            yield counted()
 
     total, texts = docs.count(), docs.select("text")
     least = (1 - lossy) * how.common * total * (1 - 1e-9)
