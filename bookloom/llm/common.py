@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +52,11 @@ def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices of about `limit` bytes of text (a longer text stands alone)."""
+def text_slices(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about `limit` bytes in `columns` (`text` if none are named; a longer row stands alone)."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes, dtype=np.int64)
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns or ("text",))
+        ends = np.cumsum(sizes)
         at, n = 0, len(sizes)
         while at < n:
             base = ends[at - 1] if at else 0
@@ -75,6 +75,16 @@ def trim() -> None:
         _give_back(0)
 
 
+def tidy(run: Callable) -> Callable:
+    """run, a function over Arrow batches, which trims when what it held is gone: at the end of its own loop it still holds its last slice."""
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return ended
+
+
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' UTF-8 bytes in one array, and where each text begins (nulls are empty)."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -132,7 +142,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def sum_vectors(vectors: DataFrame, size: int, parts: int = 16) -> np.ndarray:
-    """The sum of a column of int64 vectors of one size (as bytes); `parts` partial sums reach the driver."""
+    """The sum of a column of int64 vectors of one size (as bytes), a few from each task; `parts` partial sums reach the driver.
+
+    They are shuffled as they come: a sum ahead of that would be a second Python worker beside the one that makes them.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -141,7 +154,7 @@ def sum_vectors(vectors: DataFrame, size: int, parts: int = 16) -> np.ndarray:
                 total += np.frombuffer(x.as_py(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    sums = vectors.mapInArrow(add, "v binary").repartition(parts).mapInArrow(add, "v binary")
+    sums = vectors.repartition(parts).mapInArrow(add, "v binary")
     return sum((np.frombuffer(r[0], np.int64) for r in sums.collect()), np.zeros(size, np.int64))
 
 
@@ -159,12 +172,14 @@ def id_filter(ids: DataFrame, count: int, bits_each: int = 8, most_bits: int = 1
     """A bit map of a hash of every id (long), of at most most_bits / 8 bytes: it passes all ids, and few others while it is sparse."""
     bits = 1 << max(10, min(most_bits, bits_each * max(1, count)).bit_length() - 1)
 
+    @tidy
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits, bool)
         for b in batches:
             seen[_slot(b.column(0), bits)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["v"])
 
+    @tidy
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(bits // 8, np.uint8)
         for b in batches:
@@ -182,12 +197,18 @@ def _slot(ids: pa.Array, bits: int) -> np.ndarray:
     return (mix(pc.fill_null(ids.cast(pa.int64()), 0).to_numpy(zero_copy_only=False).view(_U)) & _U(bits - 1)).astype(np.int64)
 
 
+def passed(batch: pa.RecordBatch, column: str, found: np.ndarray) -> pa.RecordBatch:
+    """The rows of a batch whose id the bit map passes."""
+    at = _slot(batch.column(column), 8 * len(found))
+    return batch.filter(pa.array((found[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+
 def passing(rows: DataFrame, column: str, found: np.ndarray) -> DataFrame:
     """The rows whose id the bit map passes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = _slot(b.column(column), 8 * len(found))
-            yield b.filter(pa.array((found[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            yield passed(b, column, found)
 
     return rows.mapInArrow(run, rows.schema)

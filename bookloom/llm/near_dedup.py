@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookloom.llm.common import as_bytes, id_filter, materialise, mix, passing, span_hashes, text_slices, word_spans
+from bookloom.llm.common import as_bytes, id_filter, materialise, mix, passed, passing, span_hashes, text_slices, tidy, word_spans
 from bookloom.llm.vocab import release
 
 _U = np.uint64
+SLICE = 1 << 19  # bytes of text hashed at once: some 40 MB of arrays
 PERMUTATIONS, BINS = 4, 16
 _ODD = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -107,6 +108,7 @@ def common_shingles(docs: DataFrame, how: Near) -> Weights:
     """
     lossy = 0.75
 
+    @tidy
     def shortlist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         held, n = [], 0
@@ -116,10 +118,10 @@ def common_shingles(docs: DataFrame, how: Near) -> Weights:
             often = count > lossy * how.common * n
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(count[often])], ["h", "n"])
 
-        for s in text_slices(batches):
+        for s in text_slices(batches, limit=SLICE):
             _, what, _, m, _ = shingles(s.column("text"), how.words)
             held, n = [*held, what], n + m
-            if len(held) == 2:  # hashed one by one, which needs half the memory, and counted together
+            if len(held) == 4:  # hashed one by one, which needs a quarter of the memory, and counted together
                 yield counted()
                 held, n = [], 0
         if held:
@@ -132,10 +134,11 @@ def common_shingles(docs: DataFrame, how: Near) -> Weights:
     if not len(known):
         return Weights([], total, how)
 
+    @tidy
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         counts = np.zeros(len(known), np.int64)
-        for s in text_slices(batches):
+        for s in text_slices(batches, limit=SLICE):
             what = shingles(s.column("text"), how.words)[1]
             at = np.minimum(np.searchsorted(known, what), len(known) - 1)
             counts += np.bincount(at[known[at] == what], minlength=len(known))
@@ -175,9 +178,10 @@ def signatures(docs: DataFrame, weights: Weights, how: Near) -> DataFrame:
     """doc_id, d0, d1 (digest of the words), bands b0.. (null where empty), sketch s0.. (one byte of each sample)."""
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("d0", "d1", *_BANDS, *_SKETCH)]])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for s in text_slices(batches):
+        for s in text_slices(batches, limit=SLICE):
             who, what, tf, n, digest = shingles(s.column("text"), how.words)
             found = sketches(who, what, weights.of(what, tf), n)
             band = np.zeros((n, BINS), _U)
@@ -218,12 +222,13 @@ def links(rows: DataFrame) -> DataFrame:
     return pairs.unionByName(every).where("other <> node").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def with_digest(rows: DataFrame) -> DataFrame:
-    """rows with d0, d1, the digest of the words of `text`."""
+def with_digest(rows: DataFrame, found: np.ndarray | None = None) -> DataFrame:
+    """rows with d0, d1, the digest of the words of `text`; only those whose doc_id the bit map passes, if one is given."""
     schema = T.StructType([*rows.schema.fields, T.StructField("d0", T.LongType()), T.StructField("d1", T.LongType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in text_slices(batches):
+        for s in text_slices(batches if found is None else (passed(b, "doc_id", found) for b in batches), limit=SLICE):
             digest = shingles(s.column("text"), 5)[4]
             yield pa.RecordBatch.from_arrays([*s.columns, *[pa.array(np.ascontiguousarray(digest[:, i]).view(np.int64)) for i in (0, 1)]], schema.names)
 
@@ -241,11 +246,11 @@ class Texts:
     def of(self, ids: DataFrame, most: int) -> DataFrame:
         """doc_id (the node) and text of the nodes of ids (node), a text each; most texts are not shuffled."""
         asked = self.nodes.select("node", F.col("rep").alias("doc_id"), "d0", "d1").join(ids, "node", "left_semi")
-        near = passing(self.docs.select("doc_id", "text"), "doc_id", id_filter(asked.select("doc_id"), most))
+        texts, found = self.docs.select("doc_id", "text"), id_filter(asked.select("doc_id"), most)
         if self.clash:
-            met = with_digest(near).join(asked, ["doc_id", "d0", "d1"])
+            met = with_digest(texts, found).join(asked, ["doc_id", "d0", "d1"])
         else:
-            met = near.join(asked, "doc_id")
+            met = passing(texts, "doc_id", found).join(asked, "doc_id")
         return materialise(met.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
 
 
@@ -255,6 +260,7 @@ def frequent_sums(frequent: DataFrame, how: Near) -> DataFrame:
     The lesser of two nodes' sums, added over all places, is at least what they share.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             owner = np.repeat(np.arange(x.num_rows), pc.list_value_length(x.column("hs")).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -280,9 +286,10 @@ def missed(hot: DataFrame, source: Texts, weights: Weights, how: Near) -> DataFr
     texts = source.of(hot.select("node"), hot.count())
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("h", T.LongType()), T.StructField("w", T.DoubleType())])
 
+    @tidy
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for s in text_slices(batches):
+        for s in text_slices(batches, limit=SLICE):
             who, what, tf, _, _ = shingles(s.column("text"), how.words)
             ids = s.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(what.view(np.int64)), pa.array(weights.of(what, tf))], schema.names)
@@ -309,6 +316,7 @@ def missed(hot: DataFrame, source: Texts, weights: Weights, how: Near) -> DataFr
     def blocks(rows: DataFrame, side: str) -> DataFrame:
         """h and the nodes, labels, weights (all, of frequent shingles), sketches, prefix lists (values, lengths) and sums of up to `block` of its rows."""
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
                 h = x.column("h").to_numpy()
@@ -325,6 +333,7 @@ def missed(hot: DataFrame, source: Texts, weights: Weights, how: Near) -> DataFr
         dealt = rows.join(hot, "node").join(sums, "node").join(lists, "node", "left").select("h", "label", "node", "total", "part", *_SKETCH, "hs", "v").repartition("h", F.pmod(F.xxhash64("label", "node"), F.lit(salts))).sortWithinPartitions("h", "label", "node")
         return materialise(dealt.mapInArrow(run, "h long, " + ", ".join(f"{side}{i} binary" for i in range(8))), "blocks")
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (row for x in batches for at in range(x.num_rows) for row in x.slice(at, 1).to_pylist()):
             (a, la, wa, pa_, sa, va, na, ta), (b, lb, wb, pb, sb, vb, nb, tb) = ([np.frombuffer(row[f"{side}{i}"], {2: np.float64, 3: np.float64, 7: np.float32}.get(i, np.int64)) for i in range(8)] for side in "xy")
@@ -358,6 +367,7 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
     left = nodes.select(F.col("node").alias("a"), *[F.col(c).alias(f"a{c}") for c in _SKETCH])
     right = nodes.select(F.col("node").alias("b"), *[F.col(c).alias(f"b{c}") for c in _SKETCH])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             same = sum(((x.column(f"a{c}").to_numpy().view(np.uint8) == x.column(f"b{c}").to_numpy().view(np.uint8)).reshape(-1, 8).sum(1) for c in _SKETCH), np.zeros(x.num_rows, np.int64))
@@ -374,9 +384,10 @@ def verified(pairs: DataFrame, source: Texts, weights: Weights, how: Near) -> Da
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     schema = T.StructType([*pairs.schema.fields, T.StructField("similarity", T.DoubleType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for x in text_slices(batches, "text_a"):
+        for x in text_slices(batches, "text_a", "text_b", limit=2 * SLICE):
             sides = [shingles(x.column(c), how.words) for c in ("text_a", "text_b")]
             who, what = np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides])
             w = np.concatenate([weights.of(s[1], s[2]) for s in sides])

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from bookloom.llm.common import mix, scratch_path, sum_vectors, text_slices
+from bookloom.llm.common import mix, scratch_path, sum_vectors, text_slices, tidy
 from bookloom.llm.vocab import Cache, byte_symbols, locate, once, release
 
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
@@ -143,6 +143,7 @@ def encode(docs: DataFrame, tokenizer: str, how: Packing) -> DataFrame:
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
     end = np.array([how.end_id], "<u2").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once(("encoder", tokenizer), lambda: Encoder(tokenizer))
         seen = np.zeros(1 << 16, np.int64)
@@ -160,6 +161,7 @@ def encode(docs: DataFrame, tokenizer: str, how: Packing) -> DataFrame:
 def routed(kept: DataFrame, seen: np.ndarray, idf: np.ndarray) -> DataFrame:
     """kept (doc_id, ids) with the routes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for s in text_slices(batches, "ids"):
@@ -272,6 +274,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", how: Packing = P
     partitions = max(1, -(-n_tokens // most), min(-(-n_tokens // least), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         sequence = TaskContext.get().partitionId() << 32
