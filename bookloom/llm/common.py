@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 #: White space of every contract here: space and U+0009 to U+000D.
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -101,7 +101,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~SPACE[data]
     border = np.zeros(n + 1, bool)
     border[offsets] = True
     edge = np.empty(n + 1, bool)

@@ -21,9 +21,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from bookloom.llm.common import mix, scratch_path, sum_vectors, text_slices, tidy
-from bookloom.llm.vocab import Cache, byte_symbols, locate, once, release
+from bookloom.llm.common import SPACE, as_bytes, mix, scratch_path, sum_vectors, text_slices, tidy
+from bookloom.llm.vocab import byte_symbols, locate, once, release
 
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 _MARKS = r"[!-&(-/:-@\[-`{-~]"  # all of ASCII but the apostrophe, which can begin a piece of its own
 #: A span of letters, marks or letters and closing marks: a piece or two.
 _PLAIN = re.compile(f"({_LETTERS}*+)({_MARKS}*+)")
-#: A comma or stop before a blank is a piece of its own but after these.
-_TIED = re.compile("[^a-zà-öø-ÿ0-9 ][,.] ")
-_WIDE = re.compile("[^\x00-\xff\u2010-\u2027]")
+#: Bytes in lower case, and those of ASCII's letters and digits.
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 _U = np.uint64
 
 
@@ -59,71 +59,161 @@ class Packing:
     dense: float = 0.15
 
 
+def _rows(at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The texts that hold the bytes at these places."""
+    return np.unique(np.searchsorted(offsets, at, side="right") - 1)
+
+
+def _lowered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The texts' bytes in lower case, but for texts where that may change more than plain letters (wide letters, `<|`)."""
+    low = _LOWER[data]
+    low[np.flatnonzero((data[:-1] == 0xC3) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1] += 0x20
+    wide = np.flatnonzero(data >= 0xC4)
+    if len(wide):  # U+2010 to U+2027 are no letters
+        second, third = data[np.minimum(wide + 1, len(data) - 1)], data[np.minimum(wide + 2, len(data) - 1)]
+        wide = wide[(data[wide] != 0xE2) | (second != 0x80) | (third < 0x90) | (third > 0xA7)]
+    for r in _rows(np.concatenate([wide, np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))]), offsets):
+        low[offsets[r] : offsets[r + 1]] = data[offsets[r] : offsets[r + 1]]
+    return low
+
+
+def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The spans between white space, without a comma or stop that closes one after a plain letter or digit (a span of
+    its own); and for every text the index of its first span (one more entry at the end)."""
+    n = len(data)
+    inside, border = ~SPACE[data], np.zeros(n + 1, bool)
+    border[offsets] = border[0] = border[n] = True
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1] | border[1:n]
+    at = np.flatnonzero((data == 0x2C) | (data == 0x2E))
+    at = at[~begin[at]]
+    at = at[border[at + 1] | ~inside[np.minimum(at + 1, n - 1)]]
+    before = data[at - 1]
+    begin[at[_ALNUM[before] | (data[at - 2] == 0xC3) & (before >= 0xA0) & (before != 0xB7)]] = True
+    kept = data[inside]
+    ends = np.append(np.flatnonzero(begin[inside]), len(kept))
+    spans = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(kept)])
+    return spans, np.searchsorted(np.flatnonzero(begin), offsets)
+
+
+def _gather(values: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of values, one after the other."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(begin - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """Identifiers of a text as 16-bit numbers, by the library for spans between white space not seen lately.
 
-    A text is put in lower case first where that changes nothing but plain letters.  A new span of letters, of marks or of
-    letters and closing marks goes to the library's model at once: normalising would leave it as it is but for case,
-    splitting gives these pieces, and the model takes bytes as their symbols.  Any other span goes to the library whole.
+    Texts come by slices.  A slice is put in lower case where that changes nothing but plain letters, and cut into spans;
+    Arrow numbers the distinct ones, and only these are looked up.  New spans of letters, of marks or of letters and closing
+    marks go to the library's model together, one to a line: normalising would leave them as they are but for case, splitting
+    gives these pieces, and the model takes bytes as their symbols.  Any other span goes to the library whole.
+    Of more than most_words spans those stay that several slices had.
     """
 
-    def __init__(self, tokenizer: str, most_words: int = 300_000, longest: int = 40):
+    def __init__(self, tokenizer: str, most_words: int = 500_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(locate(tokenizer))
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("identifiers must fit 16 bits")
         self.encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        self.split, self.symbols = self.library.model.tokenize, byte_symbols()
-        self.words = Cache(self._span, most_words, longest)
-
-    def _piece(self, piece: str) -> bytes:
-        low = piece.lower()
-        if not low.isascii():
-            low = low.encode().decode("latin-1").translate(self.symbols)
-        return array("H", [x.id for x in self.split(low)]).tobytes()
-
-    def _span(self, span: bytes) -> bytes:
-        if span.isalpha():  # letters of ASCII alone
-            return array("H", [x.id for x in self.split(span.lower().decode())]).tobytes()
-        text = span.decode()
-        if not (plain := _PLAIN.fullmatch(text)):
-            return array("H", self.encode([text], add_special_tokens=False)[0].ids).tobytes()
-        letters, marks = plain.groups()
-        if not letters or not marks:
-            return self._piece(text)
-        return (self.words.get(letters.encode()) or self._piece(letters)) + self.words[marks.encode()]
+        self.lines = Tokenizer(self.library.model)
+        self.lines.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        self.split = getattr(self.lines, "encode_batch_fast", self.lines.encode_batch)
+        suffix, self.symbols = self.library.model.end_of_word_suffix, byte_symbols()
+        self.last = np.zeros(1 << 16, bool)  # the identifiers that end a piece
+        self.last[[i for s, i in self.library.get_vocab(False).items() if suffix and s.endswith(suffix)]] = True
+        self.most, self.longest = most_words, longest
+        self.known: dict[bytes, int] = {}
+        self.ids, self.begin, self.length, self.slices = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _lines(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of plain pieces, and how many each has."""
+        text = "\n".join(pieces).lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.symbols | {10: "\n"})
+        ids = np.array(self.split([text], add_special_tokens=False)[0].ids, np.uint16)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(pieces):
+            return ids, np.diff(ends, prepend=0)
+        each = [[x.id for x in self.library.model.tokenize(t)] for t in text.split("\n")]
+        return np.array([i for e in each for i in e], np.uint16), np.array([len(e) for e in each])
+
+    def _new(self, spans: list[bytes]) -> None:
+        """Learn the identifiers of spans."""
+        pieces, owner, whole, others = [], [], [], []
+        for k, span in enumerate(spans):
+            text = span.decode()
+            if span.isalpha():  # letters of ASCII alone
+                pieces.append(text)
+                owner.append(k)
+            elif plain := _PLAIN.fullmatch(text):
+                for piece in filter(None, plain.groups()):
+                    pieces.append(piece)
+                    owner.append(k)
+            else:
+                whole.append(text)
+                others.append(k)
+        ids, lengths = self._lines(pieces) if pieces else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
+        rest = [np.array(e.ids, np.uint16) for e in self.encode(whole, add_special_tokens=False)] if whole else []
+        length = np.bincount(owner, lengths, len(spans)).astype(np.int64)
+        begin = np.cumsum(length) - length
+        length[others] = [len(r) for r in rest]
+        begin[others] = len(ids) + np.cumsum(length[others]) - length[others]
+        self.known |= zip(spans, range(len(self.begin), len(self.begin) + len(spans)))
+        self.begin, self.length = np.concatenate([self.begin, begin + len(self.ids)]), np.concatenate([self.length, length])
+        self.ids, self.slices = np.concatenate([self.ids, ids, *rest]), np.concatenate([self.slices, np.zeros(len(spans), np.int64)])
+
+    def _forget(self) -> None:
+        """Keep the spans that several slices had; none if they are too many."""
+        stay = np.flatnonzero((self.slices > 1) & (self.length <= self.longest))
+        stay = stay[: len(stay) if 2 * len(stay) <= self.most else 0]
+        number = np.full(len(self.begin), -1)
+        number[stay] = np.arange(len(stay))
+        self.known = {s: k for s, k in zip(self.known, number.tolist()) if k >= 0}
+        self.ids, self.length = _gather(self.ids, self.begin[stay], self.length[stay]), self.length[stay]
+        self.begin, self.slices = np.cumsum(self.length) - self.length, np.zeros(len(stay), np.int64)
+
+    def column(self, texts: pa.Array) -> list[bytes]:
+        data, offsets = as_bytes(texts)
+        if not len(data):
+            return [b""] * len(texts)
+        spans, first = _spans(_lowered(data, offsets), offsets)
+        coded = spans.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(new := np.flatnonzero(number < 0)):
+            number[new] = np.arange(len(self.begin), len(self.begin) + len(new))
+            self._new([distinct[k] for k in new.tolist()])
+        self.slices[number] += 1
+        number = number[coded.indices.to_numpy()]
+        lengths = self.length[number]
+        ids, ends = _gather(self.ids, self.begin[number], lengths), np.concatenate([[0], np.cumsum(lengths)])[first].tolist()
+        if len(self.known) > self.most or len(self.ids) > 8 * self.most:
+            self._forget()
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for t in texts:
-            if "<|" not in t and (t.isascii() or not _WIDE.search(t)):
-                t = t.lower()
-            if not _TIED.search(t):
-                t = t.replace(", ", " , ").replace(". ", " . ")
-            out.append(b"".join(map(self.words.__getitem__, t.encode().split())))
-        return out
+        return self.column(pa.array(texts, pa.large_string()))
 
 
-def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct identifiers in order, and how often each occurs."""
-    s = np.sort(ids)
-    at = np.flatnonzero(s[1:] != s[:-1]) + 1
-    at = np.concatenate([[0], at])
-    return s[at], np.diff(at, append=len(s))
+def _counts(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Array, identifier and how often it occurs there, in this order, for the distinct identifiers of all arrays at once."""
+    keys = np.concatenate(arrays).astype(np.int64) | np.repeat(np.arange(len(arrays)) << 16, [len(a) for a in arrays])
+    keys.sort()
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[at] >> 16, keys[at] & 0xFFFF, np.diff(at, append=len(keys))
 
 
 def routes(arrays: list[np.ndarray], seen: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """The route of each array; one without a token that others have gets a route by its first token."""
-    lengths = [len(a) for a in arrays]
-    keys = np.concatenate(arrays).astype(np.int64) | np.repeat(np.arange(len(arrays)) << 16, lengths)
-    keys.sort()
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    token, tf = keys[at] & 0xFFFF, np.diff(at, append=len(keys))
+    owner, token, tf = _counts(arrays)
     weight = np.where(seen[token] > 1, np.log1p(tf) * idf[token], 0).astype(np.float32)
     ranked = weight.view(np.uint32).astype(_U) << _U(16) | token.astype(_U)
-    begin = np.searchsorted(keys[at] >> 16, np.arange(len(arrays)))
+    begin = np.searchsorted(owner, np.arange(len(arrays)))
     first = np.maximum.reduceat(ranked, begin)
     ranked[ranked == np.repeat(first, np.diff(begin, append=len(ranked)))] = 0
     second = np.maximum.reduceat(ranked, begin)
@@ -132,9 +222,7 @@ def routes(arrays: list[np.ndarray], seen: np.ndarray, idf: np.ndarray) -> np.nd
 
 def _documents_with(arrays: list[np.ndarray]) -> np.ndarray:
     """How many of the arrays hold each identifier."""
-    keys = np.concatenate(arrays).astype(np.int64) | np.repeat(np.arange(len(arrays)) << 16, [len(a) for a in arrays])
-    keys.sort()
-    return np.bincount(keys[np.append(True, keys[1:] != keys[:-1])] & 0xFFFF, minlength=1 << 16)
+    return np.bincount(_counts(arrays)[1], minlength=1 << 16)
 
 
 def encode(docs: DataFrame, tokenizer: str, how: Packing) -> DataFrame:
@@ -147,8 +235,8 @@ def encode(docs: DataFrame, tokenizer: str, how: Packing) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once(("encoder", tokenizer), lambda: Encoder(tokenizer))
         seen = np.zeros(1 << 16, np.int64)
-        for s in text_slices(batches):
-            got = [i + end for i in encoder.texts([t or "" for t in s.column("text").to_pylist()])]
+        for s in text_slices(batches, limit=4 << 20):  # words recur: the larger a slice, the fewer are looked up
+            got = [i + end for i in encoder.column(s.column("text"))]
             arrays = [np.frombuffer(i, "<u2") for i in got]
             if arrays:
                 seen += _documents_with(arrays)
@@ -181,15 +269,12 @@ class Shard:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, how: Packing):
         self.docs, self.idf, self.how = docs, idf, how
-        found = [_distinct(d) for d in docs]
-        self.terms = [t for t, _ in found]
+        owner, term, tf = _counts(docs)
+        self.terms = np.split(term.astype(np.uint16), np.searchsorted(owner, np.arange(1, len(docs))))
         lengths = np.array([len(d) for d in docs], np.float64)
-        owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for t in self.terms])
-        term = np.concatenate(self.terms)
-        tf = np.concatenate([c for _, c in found]).astype(np.float64)
         weight = idf[term] * tf * (how.k1 + 1) / (tf + how.k1 * (1 - how.b + how.b * lengths[owner] / mean))
-        order = np.argsort(term, kind="stable")
-        self.owner, self.weight = owner[order], weight[order].astype(np.float32)
+        order = np.argsort(term.astype(np.uint16), kind="stable")
+        self.owner, self.weight = owner[order].astype(np.int32), weight[order].astype(np.float32)
         self.begin = np.searchsorted(term[order], np.arange((1 << 16) + 1))
         often = np.flatnonzero(np.diff(self.begin) > how.dense * len(docs))
         self.row = np.full(1 << 16, -1)

@@ -1,10 +1,12 @@
 """Text operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and further columns."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bookloom.llm import bpe_codec, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters, warc
@@ -122,6 +124,35 @@ def test_spans_of_the_encoder():
     assert seen == ["(words)", "don't"]
 
 
+def test_encoder_learns_by_slices():
+    """All new plain words of a slice go to the model in one call; words of several slices stay when the rest is forgotten."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdeéßÀÞö"), rng.integers(1, 9)))
+    parts = [lambda: word(), lambda: word() + rng.choice([",", ".", "!", "),", "7.", "’", "'s,"]), lambda: str(rng.choice(["12,", "É.", "e\u0301,", "÷,", "<|endoftext|>", "İA", "A B", "\x1f", ",", "..", "·."]))]
+    texts = ["".join(parts[rng.integers(0, 3)]() + rng.choice([" ", "\n", "  ", ""]) for _ in range(rng.integers(0, 12))) for _ in range(600)]
+    column = pa.array([None, "a,", ".b", "", "É", "·,", *texts, None, "end."])
+    encoder = packing.Encoder("word_bpe_49k.json", most_words=300)
+    calls, split = [], encoder.split
+    encoder.split = lambda *a, **how: calls.append(a) or split(*a, **how)
+    got = [np.frombuffer(x, "<u2").tolist() for at in range(0, len(column), 50) for x in encoder.column(column.slice(at, 50))]
+    assert got == [x.ids for x in encoder.library.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+    assert len(calls) <= -(-len(column) // 50)
+    encoder = packing.Encoder("word_bpe_49k.json", most_words=60)
+    for _ in range(2):
+        encoder.texts(["stays here"])
+    encoder.texts([" ".join(map("".join, itertools.product("abcd", repeat=3)))])
+    assert list(encoder.known) == [b"stays", b"here"]
+
+
+def test_new_words_in_one_call():
+    encoder = packing.Encoder("word_bpe_49k.json")
+    calls, split = [], encoder.split
+    encoder.split = lambda *a, **how: calls.append(a) or split(*a, **how)
+    texts = [" ".join(map("".join, itertools.product("abcdefgh", repeat=4)))] * 3
+    got = [np.frombuffer(x, "<u2").tolist() for x in encoder.texts(texts)]
+    assert got == [x.ids for x in encoder.library.encode_batch(texts, add_special_tokens=False)] and len(calls) == 1
+
+
 def test_warc(spark):
     big = "<p>" + "y" * 1500
     rows = [(1, "http://a/\r\nb", big), (2, "http://a", big), (3, None, "small"), (4, "u", "small"), (5, "v", None), (None, "w", big), (2, "http://a", big), (7, "x", "WARC/1.1\r\n\r\n" * 200)]
